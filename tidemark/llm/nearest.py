@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 BUCKET_MS = 64_000
 STEP = 16
 LEVELS = 11
+SALTS = 8
 
 
 def nearest(
@@ -49,7 +50,10 @@ def nearest(
     placed = leveled.select("entity", "level", "r", "s", "e", F.explode(F.sequence(first, last)).alias("bucket"))
 
     there = leveled.select("entity", "level").distinct()
-    visits = points.join(there, "entity").withColumn("size", size).withColumn("bucket", F.floor(F.col("t") / F.col("size")))
+    # an entity may hold a third of all left records: its few levels are repeated over salts of the key
+    salted = points.withColumn("salt", F.pmod(F.xxhash64(*names), F.lit(SALTS)).cast("int"))
+    spread = there.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    visits = salted.join(spread, ["entity", "salt"]).withColumn("size", size).withColumn("bucket", F.floor(F.col("t") / F.col("size")))
     none = lambda kind: F.lit(None).cast(kind)
     kinds = dict(points.dtypes)
     both = placed.select("entity", "level", "bucket", F.col("s").alias("time"), F.lit(0).alias("side"), "e", "r", *[none(kinds[n]).alias(n) for n in names]).unionByName(

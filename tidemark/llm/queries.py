@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import canonical, nearest
+from tidemark.llm import bpe, canonical, nearest, packing
 from tidemark.session import table
 
+#: Tokens that a container of problem 7 holds.
+CAPACITY = 2048
+
 
 def _ms(column: str) -> Column:
     return F.round(F.col(column) * 1000).cast("long")
@@ -39,7 +42,24 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest_words(spark, sf).select("run_id", "turn_idx", "word_idx")
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode_corpus(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    sized = documents.select("doc_id", bpe.token_count(spark, F.col("text")).alias("tokens"))
+    return packing.pack(sized, "doc_id", "tokens", CAPACITY).withColumnRenamed("size", "tokens")
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used, tokens held and the share of room left over."""
+    used = p7_packed(spark, sf).groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    total = used.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    return total.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
 ORACLES = {
     "p2_found": """
 WITH t AS (SELECT DISTINCT run_id, turn_idx, CAST(round(start_s * 1000) AS BIGINT) AS t FROM turns WHERE start_s IS NOT NULL),
