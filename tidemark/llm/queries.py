@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, canonical, nearest, packing
+from tidemark.llm import abuse, bpe, canonical, nearest, packing
 from tidemark.session import table
 
 #: Tokens that a container of problem 7 holds.
@@ -59,7 +59,26 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
     return total.withColumn("unused", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
+def _abuse(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    return abuse.score(documents, abuse.fit(documents, table(spark, sf, "review_labels")))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse(spark, sf).filter("abusive and doc_id is not null").select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return _abuse(spark, sf).select("doc_id", F.round("abuse_score", 6).alias("score"), "abusive")
+
+
+def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and the share of abusive ones by source."""
+    counts = _abuse(spark, sf).groupBy("source").agg(F.count("*").alias("documents"), F.count_if("abusive").alias("abusive"))
+    return counts.withColumn("rate", F.round(F.col("abusive") / F.col("documents"), 6))
+
+
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLES = {
     "p2_found": """
 WITH t AS (SELECT DISTINCT run_id, turn_idx, CAST(round(start_s * 1000) AS BIGINT) AS t FROM turns WHERE start_s IS NOT NULL),
