@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import abuse, bpe, canonical, nearest, packing
+from tidemark.llm import abuse, bpe, canonical, nearest, packing, transcripts
 from tidemark.session import table
 
 #: Tokens that a container of problem 7 holds.
@@ -42,6 +42,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest_words(spark, sf).select("run_id", "turn_idx", "word_idx")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    turns, words = table(spark, sf, "turns"), table(spark, sf, "words")
+    return transcripts.clean_turns(turns, words, with_text=False).select("run_id", "first_idx", "last_idx", "speaker_no")
+
+
+def p3_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean turns with their times and text."""
+    return transcripts.clean_turns(table(spark, sf, "turns"), table(spark, sf, "words"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "ids")
 
@@ -78,7 +88,7 @@ def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumn("rate", F.round(F.col("abusive") / F.col("documents"), 6))
 
 
-QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
+QUERIES = {"p1_found": p1_found, "p1_unmatched": p1_unmatched, "p2_found": p2_found, "p3_found": p3_found, "p3_turns": p3_turns, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
 ORACLES = {
     "p2_found": """
 WITH t AS (SELECT DISTINCT run_id, turn_idx, CAST(round(start_s * 1000) AS BIGINT) AS t FROM turns WHERE start_s IS NOT NULL),
