@@ -52,3 +52,26 @@ def running_count(
     )
     local = df.withColumn("_local", F.sum(one).over(inside))
     return local.join(sums, [*keys, bucket], "left").withColumn(name, F.col("_local") + F.col("_offset")).drop("_local", "_offset")
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column, name: str
+) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of all earlier rows of the same ``keys``, across buckets."""
+    inside = W.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    tops = df.groupBy(*keys, bucket).agg(F.max(value).alias("_top")).withColumn("_reach", F.max("_top").over(before)).select(*keys, bucket, "_reach")
+    local = df.withColumn("_local", F.max(value).over(inside))
+    return local.join(tops, [*keys, bucket], "left").withColumn(name, F.greatest("_local", "_reach")).drop("_local", "_reach")
+
+
+def islands(
+    df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column, name: str
+) -> DataFrame:
+    """Add ``name``: the number of the run of equal neighbouring ``value`` that a row is in, from 1 per ``keys``.
+
+    Null equals null. Nothing but one row per bucket is ordered over a whole entity.
+    """
+    linked = carry_last(df.withColumn("_value", value), keys, bucket, order, F.struct(F.col("_value").alias("v")), "_prior")
+    opens = F.col("_prior").isNull() | ~F.col("_prior")["v"].eqNullSafe(F.col("_value"))
+    return running_count(linked, keys, bucket, order, opens, name).drop("_value", "_prior")
