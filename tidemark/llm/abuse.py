@@ -63,7 +63,7 @@ def token_ids(token: str) -> tuple[int, int]:
         masked = _MASK.sub("*", token)
         digits = sum(c in "01345 7$".replace(" ", "") for c in token)
         plain = token.translate(LEET) if digits and (letters or "$" in token) else masked
-    if any("а" <= c <= "я" for c in plain) and any("a" <= c <= "z" for c in plain):
+    if any("а" <= c <= "ӿ" for c in plain) and any("a" <= c <= "z" for c in plain):
         plain = spelling._one_script(plain)
     shape = f"{plain[:1]}{len(plain)}{plain[-1:]}"
     if "*" in plain:

@@ -31,8 +31,9 @@ def nearest(
     The gap is 0 inside the interval, else the time to its nearer end; pairs further apart than
     ``tolerance_ms`` are no pairs, and left records without one give no row. Times are whole
     milliseconds. Rows lacking their entity, key or a time take no part, nor do intervals that end
-    before they start. Repeated rows change nothing. Of several right records at the same least gap
-    the one with the lowest key counts. Other columns of the inputs do not matter.
+    before they start. Repeated rows change nothing. Of several right records around the instant the
+    one that ends last counts; of those, and of others at the same gap, the one with the lowest key.
+    Other columns of the inputs do not matter.
     """
     names = [f"k{i}" for i in range(len(left_key))]
     points = left.select(F.col(entity).alias("entity"), *[F.col(k).alias(n) for k, n in zip(left_key, names, strict=True)], at_ms.cast("long").alias("t"))
@@ -73,8 +74,8 @@ def nearest(
     ).filter("side = 1")
     gap_before = F.greatest(F.lit(0), F.col("time") - F.col("before.e"))
     options = F.array_compact(F.array(
-        F.when(F.col("before").isNotNull(), F.struct(gap_before.cast("long").alias("gap_ms"), (-F.col("before.minus_r")).alias("r"))),
-        F.when(F.col("after").isNotNull(), F.struct((F.col("after.s") - F.col("time")).cast("long").alias("gap_ms"), F.col("after.r").alias("r"))),
+        F.when(F.col("before").isNotNull(), F.struct(gap_before.cast("long").alias("gap_ms"), F.when(gap_before == 0, -F.col("before.e")).otherwise(0).alias("ends"), (-F.col("before.minus_r")).alias("r"))),
+        F.when(F.col("after").isNotNull(), F.struct((F.col("after.s") - F.col("time")).cast("long").alias("gap_ms"), F.lit(0).cast("long").alias("ends"), F.col("after.r").alias("r"))),
     ))
     chosen = carried.select("entity", *names, F.array_min(options).alias("best")).filter(F.col("best.gap_ms") <= tolerance_ms)
     won = chosen.groupBy("entity", *names).agg(F.min("best").alias("best"))
