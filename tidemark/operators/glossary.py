@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.session import small_rows
+from tidemark.session import small_rows, spread
 
 # Limits of a glossary, which keep the broadcast side of every join here small.
 MAX_TERMS, MAX_ALIASES, MAX_CHARS, MAX_WORDS, MIN_CHARS = 500, 24, 80, 8, 4
@@ -62,8 +62,8 @@ def ambiguous(terms: DataFrame) -> DataFrame:
 def substitute(df: DataFrame, column: str, terms: DataFrame, name: str = "corrected") -> DataFrame:
     """Add ``name``: ``column`` with every recorded spelling replaced by its term, whole words, longest first.
 
-    One pattern holds all spellings, so a longer one is never cut by a shorter; no chain of
-    replacements says the same. The index has at most ``MAX_TERMS * MAX_ALIASES`` rows and is read
+    Texts are read once, from word to word, so a longer spelling is never cut by a shorter and nothing
+    is replaced twice; no chain of replacements says the same. The index has at most ``MAX_TERMS * MAX_ALIASES`` rows and is read
     to the driver once. Null stays null.
     """
     rows = small_rows(alias_index(terms), MAX_TERMS * MAX_ALIASES)
@@ -74,16 +74,30 @@ def substitute(df: DataFrame, column: str, terms: DataFrame, name: str = "correc
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
-        longest = sorted(table, key=lambda a: (-len(a), a))
-        pattern = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, longest))})(?!\w)", re.IGNORECASE) if longest else None
+        # by first word, the longest first; a spelling that opens with a sign stands under its first word too
+        by_lead: dict[str, list[tuple[int, str]]] = {}
+        for alias in sorted(shared.value, key=lambda a: (-len(a), a)):
+            if lead := re.search(r"\w+", alias):
+                by_lead.setdefault(lead[0], []).append((lead.start(), alias))
+
+        def fix(t: object) -> str | None:
+            if not isinstance(t, str):
+                return None
+            out, done = [], 0
+            for word in re.finditer(r"\w+", t):
+                for back, alias in by_lead.get(word[0].casefold(), ()):
+                    at = word.start() - back
+                    end = at + len(alias)
+                    if at >= done and t[at:end].casefold() == alias and not re.match(r"\w", t[end : end + 1]):
+                        out += [t[done:at], shared.value[alias]]
+                        done = end
+                        break
+            return "".join(out) + t[done:] if done else t
+
         for s in batches:
-            if pattern is None:
-                yield s
-            else:
-                yield s.map(lambda t: pattern.sub(lambda m: table.get(m.group().casefold(), m.group()), t) if isinstance(t, str) else None)
+            yield s.map(fix)
 
-    return df.withColumn(name, run(F.col(column)))
+    return spread(df).withColumn(name, run(F.col(column)))
 
 
 def phrases(value: Column, width: int) -> Column:

@@ -50,3 +50,12 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, most:
     """
     within = right.limit(most + 1).count() <= most
     return left.join(F.broadcast(right) if within else right, on, how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions, as a small file does.
+
+    For steps that cost far more than moving a row. Tables of many files are left as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
