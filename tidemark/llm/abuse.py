@@ -136,10 +136,15 @@ class Model:
         blocks = np.array([max(1, -(-(len(d) + max(WIDTHS) - 1) // BLOCK)) for d in docs])
         first = np.concatenate([[0], np.cumsum(blocks)])
         ids = np.zeros((first[-1] * BLOCK, 2), np.int32)
+        own = np.zeros(len(ids), bool)
         for d, at in zip(docs, first[:-1], strict=True):
             ids[at * BLOCK : at * BLOCK + len(d)] = d
-        top = self.activations(ids).reshape(-1, BLOCK, len(self.bias)).max(1)
-        # filters that reach over a document's end see blanks only: each ends with width - 1 of them
+            own[at * BLOCK : at * BLOCK + len(d)] = True
+        seen = self.activations(ids)
+        # a filter that begins in a document ends in it or its blanks; one that begins in the blanks
+        # sees nothing, whatever document comes next
+        seen[~own] = np.maximum(self.bias, 0)
+        top = seen.reshape(-1, BLOCK, len(self.bias)).max(1)
         pooled = top.copy()
         same = np.repeat(np.arange(len(docs)), blocks)
         for k in (1, 2):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import spelling
-from tidemark.session import small_rows
+from tidemark.session import small_rows, spread
 
 #: Spellings up to which the trees are broadcast; a longer list is cut into shards of this size.
 SHARD = 20_000
@@ -195,7 +195,7 @@ def map_to_entries(df: DataFrame, value: str, spellings: DataFrame, shard: int =
                 yield _matched(index.value, (None if pd.isna(v) else v for v in s), memo)
 
         found = match(F.col(value).cast("string"))
-        return df.withColumn("match", found).withColumn("match", F.when(F.col("match.entry").isNotNull(), F.col("match")))
+        return spread(df).withColumn("match", found).withColumn("match", F.when(F.col("match.entry").isNotNull(), F.col("match")))
     return _sharded(df, value, listed, shard, block)
 
 
