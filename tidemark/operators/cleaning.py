@@ -97,7 +97,7 @@ def collapsed(value: Column, repeats: int = REPEATS) -> Column:
         for s in batches:
             yield s.map(lambda t: collapse(t, repeats) if isinstance(t, str) else None)
 
-    return run(value)
+    return run.asNondeterministic()(value)
 
 
 def clean(segments: DataFrame, strict: bool = False, floor: float = confidence.FLOOR) -> DataFrame:

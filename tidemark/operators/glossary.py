@@ -97,7 +97,8 @@ def substitute(df: DataFrame, column: str, terms: DataFrame, name: str = "correc
         for s in batches:
             yield s.map(fix)
 
-    return spread(df).withColumn(name, run(F.col(column)))
+    # else a filter on the result would be pushed below it and read every text twice
+    return spread(df).withColumn(name, run.asNondeterministic()(F.col(column)))
 
 
 def phrases(value: Column, width: int) -> Column:
