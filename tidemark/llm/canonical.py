@@ -142,7 +142,8 @@ class Index:
             for d, k, payloads in self.written.within(key, written_radius(len(key))):
                 for entry, _ in payloads:
                     near[entry, k] = (d, distance(sound, spelling.sound(k)))
-            radius = sound_radius(len(sound))
+            # up to eight characters a quarter of the length is no more than the written search forgives
+            radius = sound_radius(len(sound)) if len(key) > 8 else 0
             if len(sound) > 2:
                 for d, _, payloads in self.sound.within(sound, radius):
                     for entry, k in payloads:
@@ -194,7 +195,8 @@ def map_to_entries(df: DataFrame, value: str, spellings: DataFrame, shard: int =
                     memo.clear()
                 yield _matched(index.value, (None if pd.isna(v) else v for v in s), memo)
 
-        found = match(F.col(value).cast("string"))
+        # else a filter on the match would be pushed below it and search twice
+        found = match.asNondeterministic()(F.col(value).cast("string"))
         return spread(df).withColumn("match", found).withColumn("match", F.when(F.col("match.entry").isNotNull(), F.col("match")))
     return _sharded(df, value, listed, shard, block)
 
