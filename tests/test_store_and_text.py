@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import glossary, plugins, readings, render, store
 from tidemark.operators.carry import islands, running_count
+from tidemark.plans import terms as term_queries
 from tidemark.sources import files, logs
 
 BASE = dict(backend="b", model="m", language="en", vad=True, variants=0)
@@ -134,3 +135,38 @@ def test_islands_across_buckets(spark):
     assert got == want
     counted = running_count(df, ["k"], "b", [F.col("i")], F.col("v") == 2, "c").orderBy("i").collect()
     assert counted[-1]["c"] == 9
+
+
+def test_heard_is_the_better_reading(spark):
+    """Each phrase against each term, scored in full."""
+    terms = spark.createDataFrame([(1, "HyperIDE", None, None), (2, "ConLoca", None, None), (3, "Straße", None, None), (4, "数据平台", None, None)], TERM)
+    grams = spark.createDataFrame([(p,) for p in ("hyper ide", "Coloca", "Конлока", "колока нет", "strasse", "шрасе", "数据平合", "语音识别", "customer", "ConLoca is")], "phrase string")
+    t = terms.withColumn("b", glossary.skeletons(F.col("term")))
+    pairs = grams.withColumn("a", glossary.skeletons(F.col("phrase"))).crossJoin(t)
+    pairs = pairs.withColumn("score", glossary.likeness(F.col("phrase"), F.col("term"), F.col("a"), F.col("b"))).collect()
+    for like in (0.8, 0.5):
+        best = {}
+        for r in sorted(pairs, key=lambda r: (-r["score"], r["priority"])):
+            wide = len(r["phrase"].split()) > len(r["term"].split())
+            near = abs(len(r["phrase"].replace(" ", "")) - len(r["term"].replace(" ", ""))) <= glossary.SLACK
+            held = r["term"].casefold() in r["phrase"].casefold()
+            if not held and (near or not wide) and r["score"] >= like + (glossary.WIDE if wide else 0):
+                best.setdefault(r["phrase"], (r["term"], round(r["score"], 9)))
+        got = {r["phrase"]: (r["term"], round(r["score"], 9)) for r in glossary.lookalikes(grams, terms, like=like, heard=True).collect()}
+        assert got == best and best["Конлока"] == ("ConLoca", 1.0)
+
+
+def tables_of(spark, folder, texts, terms):
+    """Words of one run, a turn each, and a glossary."""
+    words = [("r", i, k, w, float(k), k + 0.5, 0.9) for i, t in enumerate(texts) for k, w in enumerate(t.split())]
+    spark.createDataFrame(words, "run_id string, turn_idx int, word_idx int, text string, start_s double, end_s double, p double").write.parquet(f"{folder}/words.parquet")
+    spark.createDataFrame(terms, TERM).write.parquet(f"{folder}/terms.parquet")
+    return str(folder)
+
+
+def test_screen_hears(spark, tmp_path):
+    sf = tables_of(spark, tmp_path, ["we use Конлока", "and Colocka here"], [(1, "ConLoca", None, None)])
+    got = {(r["seg_idx"], r["heard"], r["term"]) for r in term_queries.c03_apply_glossary(spark, sf).collect()}
+    assert got == {(0, "Конлока", "ConLoca"), (1, "Colocka", "ConLoca")}
+    near = {r["phrase"] for r in term_queries.o04_near_misses(spark, sf).collect()}
+    assert not near & {"Конлока", "Colocka"}

@@ -122,8 +122,8 @@ def lookalikes(values: DataFrame, terms: DataFrame, like: float = LIKE, heard: b
     A phrase that holds the term is not one, a phrase of more words must be of about the same length
     and ``WIDE`` more alike. Ties go to the term with priority. Terms, at most ``MAX_TERMS``, stand
     in every length that can reach the likeness and meet phrases by length, so no phrase is compared
-    with terms that cannot match. With ``heard`` the likeness of the sound counts too; then lengths say nothing
-    and phrases are scored against all terms in one batch function.
+    with terms that cannot match. With ``heard`` the likeness of the sound counts too,
+    and phrases meet terms by the length of either.
     """
     good = admitted(terms).select("priority", "term", text.casefold(F.col("term")).alias("low"))
     distinct = values.select("phrase").distinct().withColumn("phrase_low", text.casefold(F.col("phrase")))
@@ -178,19 +178,29 @@ def likeness(a: Column, b: Column, sound_a: Column, sound_b: Column) -> Column:
 
 
 def _heard(distinct: DataFrame, good: DataFrame, like: float) -> DataFrame:
-    """Lookalikes by writing or sound: phrases meet the terms whose sound's length can reach the likeness."""
+    """Lookalikes by writing or sound: each reading meets the terms whose length in it can reach the likeness.
+
+    The better reading of a pair counts. One that cannot reach ``like`` never decides, so edits are
+    counted as far as ``like`` allows and no further.
+    """
     s = distinct.withColumn("sound", skeletons(F.col("phrase")))
     t = good.withColumn("term_sound", skeletons(F.col("term")))
     reach = lambda n: F.sequence(F.ceil(n * like - 1e-9).cast("int"), F.floor(n / like + 1e-9).cast("int"))
-    by_sound = t.withColumn("length", F.explode(reach(F.length("term_sound"))))
-    by_letter = t.withColumn("length", F.explode(reach(F.length("low"))))
-    pairs = s.withColumn("length", F.length("sound")).join(F.broadcast(by_sound), "length").unionByName(s.withColumn("length", F.length("phrase_low")).join(F.broadcast(by_letter), "length"))
     many = F.size(F.split("phrase", " ")) > F.size(text.tokens(F.col("term")))
     tight = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
     near = F.abs(tight(F.col("phrase")) - tight(F.col("term"))) <= SLACK
     need = F.when(many, like + WIDE).otherwise(F.lit(like))
-    score = likeness(F.col("phrase"), F.col("term"), F.col("sound"), F.col("term_sound"))
-    scored = pairs.filter(~F.contains("phrase_low", "low") & (~many | near)).withColumn("score", score).filter(F.col("score") >= need)
+
+    def read(phrase: str, term: str) -> DataFrame:
+        placed = t.withColumn("length", F.explode(reach(F.length(term))))
+        pairs = s.withColumn("length", F.length(phrase)).join(F.broadcast(placed), "length").filter(~many | near)
+        longest = F.greatest(F.length(phrase), F.length(term))
+        pairs = pairs.withColumn("longest", longest).withColumn("within", F.floor((1 - like) * longest + 1e-9).cast("int"))
+        counted = pairs.withColumn("d", F.expr(f"levenshtein({phrase}, {term}, within)")).filter("d >= 0").filter(~F.contains("phrase_low", "low"))
+        score = F.when(F.col("longest") == 0, F.lit(1.0)).otherwise(1 - F.col("d") / F.col("longest"))
+        return counted.withColumn("score", score).filter(F.col("score") >= need).select("phrase", "priority", "term", "score")
+
+    scored = read("sound", "term_sound").unionByName(read("phrase_low", "low"))
     best = F.max(F.struct("score", (-F.col("priority")).alias("minus"), "term"))
     return scored.groupBy("phrase").agg(best.alias("b")).select("phrase", "b.term", "b.score")
 

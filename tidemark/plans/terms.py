@@ -102,21 +102,21 @@ def j04_soundalikes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def c03_apply_glossary(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments after substitution, with the phrases that still resemble a term."""
+    """Segments after substitution, with the phrases that still resemble a term as written or by sound."""
     terms = table(spark, sf, "terms")
     fixed = glossary.substitute(base.segments(spark, sf).select("run_id", "seg_idx", "text"), "text", terms)
     grams = fixed.select("run_id", "seg_idx", F.explode(F.array_distinct(glossary.phrases(F.col("corrected"), glossary.width_of(terms)))).alias("phrase"))
-    likes = glossary.lookalikes(grams, terms)
+    likes = glossary.lookalikes(grams, terms, heard=True)
     return grams.join(likes, "phrase").select("run_id", "seg_idx", F.col("phrase").alias("heard"), "term")
 
 
 @query()
 def o04_near_misses(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 phrases most like a term among those that stay below the threshold."""
+    """The 20 phrases most like a term, as written or by sound, among those that stay below the threshold."""
     terms = table(spark, sf, "terms")
     grams = _phrases(spark, sf, glossary.width_of(terms))
-    caught = glossary.lookalikes(grams, terms)
-    below = glossary.lookalikes(grams, terms, like=0.5).join(caught.select("phrase"), "phrase", "left_anti")
+    caught = glossary.lookalikes(grams, terms, heard=True)
+    below = glossary.lookalikes(grams, terms, like=0.5, heard=True).join(caught.select("phrase"), "phrase", "left_anti")
     return below.orderBy(F.desc("score"), "phrase").limit(20).withColumn("score", F.round("score", 6))
 
 
