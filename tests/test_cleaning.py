@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidemark.operators import cleaning
+from tidemark.plans import speech
 
 
 @pytest.mark.parametrize(("value", "want"), [
@@ -65,3 +66,14 @@ def test_echoes(spark):
     rows = [("same line", 0.9, 0.0)] * 4 + [("other", 0.9, 0.0)] + [("Same, line!", 0.9, 0.0)] * 2
     assert flagged(spark, rows) == [None, "loop-echo", "loop-echo", "loop-echo", None, None, None]
     assert flagged(spark, [("x" * 61, 0.9, 0.0)] * 3) == [None] * 3
+
+
+def test_reports_count_echoes(spark, tmp_path):
+    texts = ["same line"] * 4 + ["no no no no no no no no"]
+    words = [("r", i, k, w, 10.0 * i + k, 10.0 * i + k + 1, 0.2) for i, t in enumerate(texts) for k, w in enumerate(t.split())]
+    spark.createDataFrame(words, "run_id string, turn_idx int, word_idx int, text string, start_s double, end_s double, p double").write.parquet(f"{tmp_path}/words.parquet")
+    spark.createDataFrame([("r", 0, 0.0, 90.0)], "run_id string, span_idx int, start_s double, end_s double").write.parquet(f"{tmp_path}/spans.parquet")
+    dropped = {(r["seg_idx"], r["reason"]) for r in speech.p04_dropped(spark, str(tmp_path)).collect()}
+    assert dropped == {(i, "loop-echo") for i in (1, 2, 3)}
+    assert [r.asDict() for r in speech.a08_clean_report(spark, str(tmp_path)).collect()] == [{"run_id": "r", "dropped": 3, "flagged_low": 2}]
+    assert [r["collapsed"] for r in speech.a08_clean_report_collapsed(spark, str(tmp_path)).collect()] == [1]

@@ -290,15 +290,25 @@ def p02_contextual_strict(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle(SEGMENTS, SPANS, _SILENCE, _FLAGGED, select="SELECT run_id, seg_idx, CASE WHEN contains(flags, 'hallucination') THEN 'hallucination' WHEN flags = 'empty' THEN 'empty' END AS reason FROM fl WHERE contains(flags, 'hallucination') OR flags = 'empty'"))
 def p04_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    marks = cleaning.flags(F.col("text"), F.col("confidence"), F.col("silence"))
-    return _silent(spark, sf).select("run_id", "seg_idx", cleaning.drop_reason(marks).alias("reason")).filter("reason is not null")
+    """Segments that the whole pass drops, echoes of a loop among them (the SQL has no echoes)."""
+    return cleaning.clean(_silent(spark, sf)).select("run_id", "seg_idx", "reason").filter("reason is not null")
 
 
 @query(oracle(SEGMENTS, SPANS, _SILENCE, _FLAGGED, select="SELECT run_id, count(*) FILTER (contains(flags, 'hallucination') OR flags = 'empty') AS dropped, count(*) FILTER (NOT (contains(flags, 'hallucination') OR flags = 'empty') AND low) AS flagged_low FROM fl GROUP BY run_id"))
 def a08_clean_report(spark: SparkSession, sf: str) -> DataFrame:
-    marks = cleaning.flags(F.col("text"), F.col("confidence"), F.col("silence"))
-    rows = _silent(spark, sf).withColumn("flags", marks).withColumn("reason", cleaning.drop_reason(F.col("flags")))
-    return rows.groupBy("run_id").agg(F.count_if(F.col("reason").isNotNull()).alias("dropped"), F.count_if(F.col("reason").isNull() & F.array_contains("flags", "low-confidence")).alias("flagged_low"))
+    """Segments dropped by the whole pass, and kept ones of low confidence, by run (the SQL has no echoes)."""
+    return _reported(spark, sf).drop("collapsed")
+
+
+def _reported(spark: SparkSession, sf: str) -> DataFrame:
+    counts = F.count_if(F.col("reason").isNotNull()).alias("dropped"), F.count_if(F.col("reason").isNull() & F.array_contains("flags", "low-confidence")).alias("flagged_low")
+    return cleaning.clean(_silent(spark, sf)).groupBy("run_id").agg(*counts, F.count_if(F.array_contains("flags", "loop")).alias("collapsed"))
+
+
+@query()
+def a08_clean_report_collapsed(spark: SparkSession, sf: str) -> DataFrame:
+    """The report with the segments whose loop was written once, which SQL cannot find."""
+    return _reported(spark, sf)
 
 
 @query()
