@@ -1,9 +1,11 @@
+import hashlib
 from datetime import UTC, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import stamps
+from tidemark.plans import archive, output, terms
 
 
 def us(*parts, micro=0):
@@ -82,3 +84,25 @@ def test_mixture_decides_by_source(spark):
     assert found["a", "04/05/2024 10:00:00"] == ("ok", us(2024, 5, 4, 10))
     assert found["b", "04/05/2024 10:00:00"] == ("ambiguous", None)
     assert found[None, "05/05/2024 10:00:00"] == ("ok", us(2024, 5, 5, 10))
+
+
+def test_iso_notations(spark, tmp_path):
+    at = 1_711_929_600_000_000
+    for value, want in (("2024-04-01T00:00:00Z", at), ("2024-04-01 02:00:00+02:00", at), ("2024-04-01T00:00:00.5", at + 500_000), ("20240401", at), ("2024-02-30", None), ("soon", None), ("", None), (None, None)):
+        assert stamps.iso_micros(value) == want
+    assert stamps.tag_micros(" 2024-04-01T00:00:00Z ") == at and stamps.iso_micros(" 2024-04-01") is None
+    assert stamps.name_date("/a/take 2026-03-31 13.32.57.wav") == stamps.name_date("x_20260331_133257.m4a") == "2026-03-31 13:32:57"
+    assert stamps.name_date("x_20260331-133257.m4a") is None
+    assert stamps.name_date("/2026-03-31 13.32.57/memo.wav") is None
+    spark.createDataFrame([("a.wav", "1", "2024-04-01T00:00:00Z"), ("20260331_133257.wav", "2", None)], "path string, sha256 string, recorded_at string").write.parquet(f"{tmp_path}/media.parquet")
+    got = {r["sha256"]: (r["epoch_us"], r["name_date"]) for r in output.f11_iso_and_name(spark, str(tmp_path)).collect()}
+    assert got == {"1": (at, None), "2": (None, "2026-03-31 13:32:57")}
+    runs = spark.createDataFrame([("a", "2024-04-01T02:00:00+02:00", 0, 0), ("b", "soon", 0, 0), ("c", None, 0, 0)], "run_id string, created_at string, has_summary int, has_speakers int")
+    runs.write.parquet(f"{tmp_path}/runs.parquet")
+    assert {r["run_id"]: r["epoch"] for r in archive.c22_iso_epoch_all(spark, str(tmp_path)).collect()} == {"a": at / 1e6, "b": 0.0, "c": 0.0}
+
+
+def test_norm_of_every_kind(spark, tmp_path):
+    spark.createDataFrame([(1, "note", "A, b"), (2, "chat", "Да — нет!"), (3, "log", None)], "doc_id int, kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["sha"] for r in terms.f01_norm_all(spark, str(tmp_path)).collect()}
+    assert got == {1: hashlib.sha256(b"a b").hexdigest(), 2: hashlib.sha256("да нет".encode()).hexdigest(), 3: None}

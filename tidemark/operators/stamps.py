@@ -8,8 +8,11 @@ marked ``ambiguous`` and gets no instant.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import os
+import re
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime, timedelta
 from zoneinfo import available_timezones
 
 import numpy as np
@@ -215,3 +218,43 @@ def instants(media: DataFrame, runs: DataFrame) -> DataFrame:
     r = runs.select(F.lit("runs").alias("origin"), F.col("run_id").alias("rec_key"), F.col("created_at").alias("stamp"), F.lit("created_at").alias("habit"), F.lit(None).cast("string").alias("zone"), F.lit(True).alias("utc"))
     rows = m.unionByName(r).distinct()
     return resolve(rows, "stamp", F.col("habit"), F.col("zone"), F.col("utc")).select("origin", "rec_key", "stamp", "epoch_us", "stamp_status")
+
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+_IN_NAME = re.compile(r"\d{4}[-_]?\d{2}[-_]?\d{2}[ _T]?\d{2}[.\-:]?\d{2}[.\-:]?\d{2}")
+_NAME_FORMATS = ("%Y-%m-%d %H.%M.%S", "%Y-%m-%d %H-%M-%S", "%Y-%m-%d_%H-%M-%S", "%Y-%m-%d_%H.%M.%S", "%Y%m%d-%H%M%S", "%Y%m%d_%H%M%S")
+
+
+def iso_micros(value: str | None) -> int | None:
+    """Microseconds since 1970 of a text in any ISO notation, UTC where it names no zone; null for other texts."""
+    try:
+        at = datetime.fromisoformat(value) if value else None
+    except ValueError:
+        return None
+    return at and ((at if at.tzinfo else at.replace(tzinfo=UTC)) - _EPOCH) // timedelta(microseconds=1)
+
+
+def tag_micros(value: str | None) -> int | None:
+    """``iso_micros`` of a container's tag, which may have white space around it."""
+    return iso_micros(value.strip().replace("Z", "+00:00")) if value else None
+
+
+def name_date(path: str | None) -> str | None:
+    """The time of day by the clock that a file's name carries, null where it has none."""
+    found = _IN_NAME.search(os.path.splitext(os.path.basename(path))[0]) if path else None
+    for pattern in _NAME_FORMATS if found else ():
+        try:
+            return str(datetime.strptime(found[0], pattern))
+        except ValueError:
+            continue
+    return None
+
+
+def each(value: Column, f: Callable[[str | None], object], kind: str) -> Column:
+    """``f`` over a column of texts; no expression reads every ISO notation."""
+
+    @F.udf(kind)
+    def run(t):  # noqa: ANN001, ANN202
+        return f(t)
+
+    return run(value)

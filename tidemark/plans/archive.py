@@ -173,6 +173,12 @@ def c22_iso_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return plain.select("run_id", F.coalesce(F.unix_timestamp(F.try_to_timestamp("created_at", F.lit("yyyy-MM-dd'T'HH:mm:ss"))), F.lit(0)).alias("epoch"))
 
 
+@query()
+def c22_iso_epoch_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every run's seconds since 1970, from any ISO notation; 0 where its text is none."""
+    return base.runs(spark, sf).select("run_id", F.coalesce(stamps.each(F.col("created_at"), stamps.iso_micros, "bigint") / 1e6, F.lit(0.0)).alias("epoch"))
+
+
 @query("SELECT engine AS kind, arg_min(model, (n, model)) AS name FROM (SELECT backend AS engine, model, count(*) AS n FROM runs GROUP BY backend, model) WHERE n > 1 GROUP BY engine")
 def c24_first_available(spark: SparkSession, sf: str) -> DataFrame:
     counts = table(spark, sf, "runs").groupBy(F.col("backend").alias("kind"), F.col("model").alias("name")).agg(F.count("*").alias("rank"))

@@ -158,6 +158,13 @@ def f11_plain_iso(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("sha256", F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
+@query()
+def f11_iso_and_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file with the instant of its tag in any ISO notation and the date in its name, null where there is none."""
+    rows = table(spark, sf, "media").select("path", "sha256", "recorded_at").distinct()
+    return rows.select("path", "sha256", "recorded_at", stamps.each(F.col("recorded_at"), stamps.tag_micros, "bigint").alias("epoch_us"), stamps.each(F.col("path"), stamps.name_date, "string").alias("name_date"))
+
+
 @query("SELECT DISTINCT sha256, CASE WHEN size_bytes >= 1048576 THEN (size_bytes // 1048576) || ' MiB' ELSE (size_bytes // 1024) || ' KiB' END AS size FROM media")
 def f18_in_units(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "media").select("sha256", text.in_units(F.col("size_bytes")).alias("size")).distinct()

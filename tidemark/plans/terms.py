@@ -189,6 +189,12 @@ def f01_norm(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("kind = 'note'").select("doc_id", text.norm(F.col("text")).alias("norm"))
 
 
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS sha FROM documents")
+def f01_norm_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The norm of every document, as its hash."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.norm(F.col("text")), 256).alias("sha"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+')) AS n, sha256(array_to_string(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}_]+'), ' ')) AS sha FROM documents WHERE text IS NOT NULL")
 def f02_words(spark: SparkSession, sf: str) -> DataFrame:
     w = text.words(F.col("text"))
