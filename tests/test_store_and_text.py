@@ -170,3 +170,10 @@ def test_screen_hears(spark, tmp_path):
     assert got == {(0, "Конлока", "ConLoca"), (1, "Colocka", "ConLoca")}
     near = {r["phrase"] for r in term_queries.o04_near_misses(spark, sf).collect()}
     assert not near & {"Конлока", "Colocka"}
+
+
+def test_dictionary_report(spark, tmp_path):
+    sf = tables_of(spark, tmp_path, ["ConLog and conlog", "and Colocka here", "plain"], [(1, "ConLoca", ["ConLog"], None)])
+    got = [r.asDict(recursive=True) for r in term_queries.a09_dictionary_report(spark, sf).collect()]
+    pair = lambda heard: {"heard": heard, "term": "ConLoca"}
+    assert got == [{"run_id": "r", "rewritten": 1, "replacements": 2, "flags": 1, "replaced": [pair("ConLog"), pair("conlog")], "flagged": [pair("Colocka")]}]

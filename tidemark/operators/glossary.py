@@ -60,7 +60,13 @@ def ambiguous(terms: DataFrame) -> DataFrame:
 
 
 def substitute(df: DataFrame, column: str, terms: DataFrame, name: str = "corrected") -> DataFrame:
-    """Add ``name``: ``column`` with every recorded spelling replaced by its term, whole words, longest first.
+    """Add ``name``: ``column`` with every recorded spelling replaced by its term, whole words, longest first."""
+    found = substituted(df, column, terms)
+    return found.withColumn(name, F.col("_done.text")).drop("_done")
+
+
+def substituted(df: DataFrame, column: str, terms: DataFrame) -> DataFrame:
+    """Add ``_done``: the ``text`` after substitution and the pairs ``heard, term`` that were ``replaced``, in their order.
 
     Texts are read once, from word to word, so a longer spelling is never cut by a shorter and nothing
     is replaced twice; no chain of replacements says the same. The index has at most ``MAX_TERMS * MAX_ALIASES`` rows and is read
@@ -72,33 +78,35 @@ def substitute(df: DataFrame, column: str, terms: DataFrame, name: str = "correc
     swap = {r["alias"]: r["term"] for r in rows}
     shared = df.sparkSession.sparkContext.broadcast(swap)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("text string, replaced array<struct<heard: string, term: string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         # by first word, the longest first; a spelling that opens with a sign stands under its first word too
         by_lead: dict[str, list[tuple[int, str]]] = {}
         for alias in sorted(shared.value, key=lambda a: (-len(a), a)):
             if lead := re.search(r"\w+", alias):
                 by_lead.setdefault(lead[0], []).append((lead.start(), alias))
 
-        def fix(t: object) -> str | None:
+        def fix(t: object) -> tuple[str | None, list]:
             if not isinstance(t, str):
-                return None
-            out, done = [], 0
+                return None, []
+            out, pairs, done = [], [], 0
             for word in re.finditer(r"\w+", t):
                 for back, alias in by_lead.get(word[0].casefold(), ()):
                     at = word.start() - back
                     end = at + len(alias)
                     if at >= done and t[at:end].casefold() == alias and not re.match(r"\w", t[end : end + 1]):
                         out += [t[done:at], shared.value[alias]]
+                        if t[at:end] != shared.value[alias]:
+                            pairs.append({"heard": t[at:end], "term": shared.value[alias]})
                         done = end
                         break
-            return "".join(out) + t[done:] if done else t
+            return ("".join(out) + t[done:] if done else t), pairs
 
         for s in batches:
-            yield s.map(fix)
+            yield pd.DataFrame([fix(t) for t in s], columns=["text", "replaced"])
 
     # else a filter on the result would be pushed below it and read every text twice
-    return spread(df).withColumn(name, run.asNondeterministic()(F.col(column)))
+    return spread(df).withColumn("_done", run.asNondeterministic()(F.col(column)))
 
 
 def phrases(value: Column, width: int) -> Column:

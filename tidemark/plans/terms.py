@@ -64,9 +64,15 @@ def c04_correct_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def a09_dictionary_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments rewritten and phrases flagged, by run."""
-    found = glossary.substitute(base.segments(spark, sf).select("run_id", "seg_idx", "text"), "text", table(spark, sf, "terms"))
-    return found.groupBy("run_id").agg(F.count_if(F.expr("corrected <> text")).alias("rewritten"))
+    """Segments rewritten, replacements and phrases flagged, by run; the last two also as lists of ``heard, term``."""
+    terms = table(spark, sf, "terms")
+    fixed = glossary.substituted(base.segments(spark, sf).select("run_id", "seg_idx", "text"), "text", terms)
+    replaced = F.array_sort(F.collect_list(F.when(F.size("_done.replaced") > 0, F.struct("seg_idx", F.col("_done.replaced").alias("pairs")))))
+    report = fixed.groupBy("run_id").agg(F.count_if(F.expr("_done.text <> text")).alias("rewritten"), F.flatten(F.transform(replaced, lambda r: r["pairs"])).alias("replaced"))
+    flagged = c03_apply_glossary(spark, sf).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "heard", "term"))).alias("f"))
+    both = report.join(flagged, "run_id", "left")
+    pairs = F.coalesce(F.transform("f", lambda x: F.struct(x["heard"].alias("heard"), x["term"].alias("term"))), F.array().cast("array<struct<heard: string, term: string>>"))
+    return both.select("run_id", "rewritten", F.size("replaced").alias("replacements"), F.size(pairs).alias("flags"), "replaced", pairs.alias("flagged"))
 
 
 _GRAMS = r"""tk AS (SELECT run_id, seg_idx, regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]+') AS ws FROM segments),
