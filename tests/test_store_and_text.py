@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import glossary, plugins, readings, render, store
 from tidemark.operators.carry import islands, running_count
+from tidemark.plans import output
 from tidemark.plans import terms as term_queries
 from tidemark.sources import files, logs
 
@@ -177,3 +180,11 @@ def test_dictionary_report(spark, tmp_path):
     got = [r.asDict(recursive=True) for r in term_queries.a09_dictionary_report(spark, sf).collect()]
     pair = lambda heard: {"heard": heard, "term": "ConLoca"}
     assert got == [{"run_id": "r", "rewritten": 1, "replacements": 2, "flags": 1, "replaced": [pair("ConLog"), pair("conlog")], "flagged": [pair("Colocka")]}]
+
+
+def test_document_is_whole(spark):
+    rows = [json.loads(r["json"]) for r in output.k03_json(spark, "/root/testdata/sf0.001").collect()]
+    said = [s for r in rows for s in r.get("segments", ())]
+    assert any("speech" in r and "media_sha" in r for r in rows) and any("speaker" in s for s in said)
+    assert said and all(" ".join(w.get("text", "") for w in s["words"]) == s["text"] for s in said if all("text" in w for w in s["words"]))
+    assert any("start" in s and "end" in s and "start" in s["words"][0] for s in said)

@@ -151,7 +151,7 @@ def markdown_head(runs: DataFrame, media: DataFrame) -> DataFrame:
 
 def document(runs: DataFrame, segments: DataFrame) -> DataFrame:
     """``run_id, json``: each run with its segments as one JSON value, empty lists and nulls left out."""
-    flat = [c for c in segments.columns if c not in ("run_id", "seg_idx", "words")]
+    flat = [c for c in segments.columns if c not in ("run_id", "seg_idx")]
     listed = segments.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", *flat))).alias("segments"))
     rows = runs.drop("segments").join(listed, "run_id", "left")
     return rows.select("run_id", F.to_json(F.struct(*[c for c in rows.columns])).alias("json"))

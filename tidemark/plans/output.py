@@ -58,7 +58,13 @@ def k02_md_head(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def k03_json(spark: SparkSession, sf: str) -> DataFrame:
-    return render.document(base.runs(spark, sf).select("run_id", "lang", "segments"), base.segments(spark, sf))
+    """Each run with its columns, speech spans and segments: speaker, words, times in seconds."""
+    times = lambda x: ((x["s"] / 1000).alias("start"), (x["e"] / 1000).alias("end"))
+    words = F.transform("words", lambda w: F.struct(w["text"].alias("text"), *times(w), w["p"].alias("confidence")))
+    said = overlap.attach(base.segments(spark, sf), base.turns(spark, sf))
+    said = said.select("run_id", "seg_idx", *times({"s": F.col("s"), "e": F.col("e")}), "text", "confidence", "speaker", words.alias("words"))
+    spans = base.spans(spark, sf).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(*times({"s": F.col("s"), "e": F.col("e")})))).alias("speech"))
+    return render.document(base.runs(spark, sf).join(spans, "run_id", "left"), said)
 
 
 @query(oracle(SEGMENTS, TURNS, _ATTACHED, _TIMED, select=f"SELECT run_id, n AS line_no, n || chr(10) || {_cue('s', ',')} || ' --> ' || {_cue('e', ',')} || chr(10) || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || text AS line FROM tm"))
