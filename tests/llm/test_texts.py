@@ -209,11 +209,43 @@ def test_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, abuse_score double")
     marks = spark.createDataFrame([(i, "r", int(y)) for i, (_, y) in enumerate(corpus(120, 4))] + [(1, "r2", None), (5000, "r", 1), (None, "r", 1), (900, "r", 1)], "doc_id int, reviewer string, abusive int")
     fitted = abuse.fit(docs, marks)
-    got = {r["doc_id"]: r for r in abuse.score(docs, fitted).collect()}
+    got = {r["doc_id"]: r for r in abuse.classify(docs.drop("abuse_score"), fitted).collect()}
     assert len(got) == len(rows) and got[900]["abuse_score"] == 0 and not got[901]["abusive"] and set(fitted.thresholds) >= {""}
-    none = abuse.score(docs, abuse.fit(docs, marks.limit(0)))
-    assert none.filter("abusive").count() == 0
-    assert abuse.score(docs.limit(0), fitted).collect() == []
+    none = abuse.classify(docs, abuse.fit(docs, marks.limit(0)))
+    assert none.filter("abusive").count() == 0 and none.columns == ["doc_id", "lang", "source", "abuse_score", "abusive"]
+    assert abuse.classify(docs.limit(0), fitted).collect() == []
+
+
+def test_contradicted_marks_are_set_aside():
+    read, rows = abuse.Tokens(), corpus(600, 5)
+    truth = np.array([y for _, y in rows], np.float32)
+    wrong = np.arange(len(rows)) % 25 == 0
+    marks = np.where(wrong, 1 - truth, truth)
+    docs = [read(t) for t, _ in rows]
+    crossed = np.array([w.max() for w in abuse.cross_fit(docs, marks, np.arange(len(rows)) % 2 == 0)])
+    keep = abuse.believable(marks, crossed)
+    assert (~keep & wrong).sum() >= 0.6 * wrong.sum() and (~keep & ~wrong).sum() <= 4
+
+
+def test_nothing_is_set_aside_by_a_blind_model():
+    r = np.random.default_rng(0)
+    assert abuse.believable(r.integers(0, 2, 200).astype(float), r.normal(0, 6, 200)).all()
+
+
+def test_thresholds_at_the_rate_of_the_corpus():
+    """Marks with a third of cases, a corpus with a twentieth: the threshold rises, and by language."""
+    r = np.random.default_rng(1)
+    draw = lambda yes, no: np.concatenate([r.normal(2, 1.5, yes), r.normal(-3, 1.5, no)])
+    target = np.repeat([1.0, 0.0], [1000, 2000])
+    crossed = (draw(1000, 2000), target, ["en"] * 3000)
+    count = lambda x: np.bincount(abuse._bin(x), minlength=abuse.BINS).astype(float)
+    alike = abuse.calibrate(crossed, {"en": count(draw(10_000, 20_000))})
+    rare = abuse.calibrate(crossed, {"en": count(draw(1500, 28_500)), "ru": count(draw(0, 300))})
+    assert alike["en"] < rare["en"] and set(rare) == {"", "en", "ru"}
+    log_odds = draw(1500, 28_500)
+    share = (log_odds >= np.log(rare["en"] / (1 - rare["en"]))).mean()
+    assert 0.03 < share < 0.07
+    assert abuse.calibrate((np.zeros(0), np.zeros(0), []), {}) == {"": 1.1}
 
 
 def test_ids_fit_tables():

@@ -4,8 +4,13 @@ A small convolutional classifier, trained here in numpy from review marks. Words
 of hiding them undone, are hashed to embeddings, a second hash of first letter, last letter and length
 stands for masked ones; filters of several widths run over the text, their maxima are taken over
 windows of a sentence's length, and a hidden layer scores each window. A text scores as its worst
-window does, so one sentence in a long text counts as much as one alone. Thresholds are calibrated by
-language on marks that training did not see.
+window does, so one sentence in a long text counts as much as one alone.
+
+Marks are made by hand and some are wrong. Two models, each fitted on one half, read the other half;
+a mark that such a model contradicts plainly is set aside before the model proper is fitted. The marked
+sample holds far more cases than the corpus does, so thresholds are not taken from its rates: the share
+of cases is estimated by expectation-maximisation over the scores of all documents, and the threshold
+of each language is the score at which the expected F1 at that share is best.
 """
 
 from __future__ import annotations
@@ -18,26 +23,34 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import spelling
+from tidemark.session import cut
 
-#: Marked documents that a model is fitted on at most, and code points of the texts among them; the
-#: sample is drawn by a hash of the key.
+#: Marked documents that a model is fitted on at most, drawn by a hash of the key, code points of each
+#: of their texts, and of all of them together: what the driver holds is bounded by these.
 MARKED = 12_000
-LONGEST = 6_000
-#: Share of the sample kept from training for the thresholds.
-HELD_OUT = 0.15
-#: Documents marked abusive that a language needs for a threshold of its own.
-ENOUGH = 30
+LONGEST = 40_000
+MARKED_CHARS = 30_000_000
+#: Scores of a half's model on the other half below or above which it contradicts a mark, and the
+#: share of marks it must bear out among all that it is as sure of for its word to count.
+DOUBT = (0.2, 0.95)
+RELIABLE = 0.85
+#: Marks and documents that a language's own figures count against those of all languages.
+SHRINK_MARKS, SHRINK_DOCUMENTS = 40, 400
+#: Bins of the log odds, from -BINS / 4 to BINS / 4.
+BINS = 96
 
 WORDS, SHAPES = 1 << 15, 1 << 11
 DIM, FILTERS, HIDDEN = 16, 12, 16
 WIDTHS = (1, 2, 3, 5)
-#: Words of a block; a window is three blocks.
-BLOCK = 8
-EPOCHS = 9
+#: Words of a block; a window is three blocks. Words that go through the filters together.
+BLOCK, TOGETHER = 8, 40_000
+EPOCHS, HALF_EPOCHS = 6, 5
+#: Part of the embeddings taken off after each round: what only chance upholds fades.
+DECAY = 0.05
 
 # Letters written as digits or signs.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"})
@@ -45,6 +58,8 @@ _HIDDEN = re.compile("[­​-‏‪-‮⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .]){2,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W_](?:[\w@#*$]*[\w*$])?|\$[\w@#*$]*[\w$]")
 _MASK = re.compile(r"[@#*]")
+_NUMBER = re.compile(r"\d[\d_]*[a-z]?\d*|[a-z]\d+")
+_COUNTED = re.compile(r"_+\d+$")
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -53,8 +68,10 @@ def _hash(text: str, size: int) -> int:
 
 
 def token_ids(token: str) -> tuple[int, int]:
-    """Hashes of a token and of its shape."""
-    token = token.replace("_", "")
+    """Hashes of a token and of its shape; clocks, dates and counted labels are no hidden words."""
+    if _NUMBER.fullmatch(token):
+        return _hash("0", WORDS), 0
+    token = _COUNTED.sub("", token).replace("_", "")
     letters = sum(c.isalpha() for c in token)
     if not letters and not _MASK.search(token) and "$" not in token:
         return _hash("0", WORDS), 0
@@ -95,6 +112,10 @@ class Tokens:
         return np.array(out, np.int32).reshape(-1, 2)
 
 
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @dataclass
 class Model:
     """Weights of the classifier and a threshold per language."""
@@ -108,6 +129,8 @@ class Model:
     out: np.ndarray
     out_bias: np.ndarray
     thresholds: dict[str, float] = field(default_factory=dict)
+    #: Log odds, mark and language of marked documents, each by a model that did not see it.
+    crossed: tuple[np.ndarray, np.ndarray, list[str]] = field(default_factory=lambda: (np.zeros(0), np.zeros(0), []))
 
     @classmethod
     def fresh(cls, seed: int = 7) -> Model:
@@ -132,7 +155,21 @@ class Model:
         return np.maximum(a, 0, out=a)
 
     def windows(self, docs: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of the windows of all ``docs`` and where each document's windows start."""
+        """Scores of the windows of all ``docs`` and where each document's windows start.
+
+        Documents go through the filters together up to ``TOGETHER`` words, which bounds the memory.
+        """
+        ends = np.cumsum([len(d) + BLOCK for d in docs])
+        scores, firsts, at, done = [], [np.zeros(1, np.int64)], 0, 0
+        while at < len(docs):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER)))
+            logit, first = self._windows(docs[at:to])
+            scores.append(logit)
+            firsts.append(first[1:] + done)
+            at, done = to, done + len(logit)
+        return np.concatenate([np.zeros(0, np.float32), *scores]), np.concatenate(firsts)
+
+    def _windows(self, docs: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         blocks = np.array([max(1, -(-(len(d) + max(WIDTHS) - 1) // BLOCK)) for d in docs])
         first = np.concatenate([[0], np.cumsum(blocks)])
         ids = np.zeros((first[-1] * BLOCK, 2), np.int32)
@@ -153,16 +190,16 @@ class Model:
         h = np.maximum(pooled @ self.hidden + self.hidden_bias, 0)
         return h @ self.out + self.out_bias[0], first
 
-    def scores(self, docs: Sequence[np.ndarray]) -> np.ndarray:
-        """Probability of each document; 0 for one without words."""
+    def log_odds(self, docs: Sequence[np.ndarray]) -> np.ndarray:
+        """Log odds of each document: those of its worst window."""
         if not len(docs):
             return np.zeros(0, np.float32)
         logit, first = self.windows(docs)
-        p = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(logit, first[:-1]), -30, 30)))
-        return np.where([len(d) > 0 for d in docs], p, 0.0)
+        return np.maximum.reduceat(logit, first[:-1])
 
-    def threshold(self, language: str) -> float:
-        return self.thresholds.get(language, self.thresholds.get("", 0.5))
+    def scores(self, docs: Sequence[np.ndarray]) -> np.ndarray:
+        """Probability of each document; 0 for one without words."""
+        return np.where([len(d) > 0 for d in docs], _logistic(self.log_odds(docs)), 0.0)
 
 
 def _step(model: Model, ids: np.ndarray, target: np.ndarray, memory: dict, rate: float) -> None:
@@ -179,7 +216,7 @@ def _step(model: Model, ids: np.ndarray, target: np.ndarray, memory: dict, rate:
     pooled = np.maximum(np.take_along_axis(a, at[:, None, :], 1)[:, 0], 0)
     pre = pooled @ model.hidden + model.hidden_bias
     h = np.maximum(pre, 0)
-    p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias[0], -30, 30)))
+    p = _logistic(h @ model.out + model.out_bias[0])
     d = ((p - target) / n).astype(np.float32)
     g_out, g_out_bias = h.T @ d, np.array([d.sum()])
     dh = np.outer(d, model.out) * (pre > 0)
@@ -219,8 +256,12 @@ def _step(model: Model, ids: np.ndarray, target: np.ndarray, memory: dict, rate:
         table[used] -= rate * grad / np.sqrt(m[used])
 
 
-def train(docs: Sequence[np.ndarray], target: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """Fit by the worst windows: each round scores all windows and learns from each document's worst."""
+def train(docs: Sequence[np.ndarray], target: np.ndarray, seed: int = 7, epochs: int = EPOCHS, seen_by: Sequence[np.ndarray] | None = None) -> Model:
+    """Fit by the worst windows: each round scores all windows and learns from each document's worst.
+
+    ``seen_by`` has the log odds of each document's windows by a model that did not see it. Where that
+    model finds a case, the window it means is taken, as it cannot know the document by chance words.
+    """
     r = np.random.default_rng(seed)
     model = Model.fresh(seed)
     if not len(docs):
@@ -247,12 +288,16 @@ def train(docs: Sequence[np.ndarray], target: np.ndarray, seed: int = 7, epochs:
         for i, y in enumerate(target):
             own = logit[first[i] : first[i + 1]]
             worst = int(own.argmax())
-            p = 1 / (1 + np.exp(-np.clip(own[worst], -30, 30)))
-            if epoch >= 4 and abs(p - y) > 0.97:
+            if y <= 0.5:
+                chosen = {worst, *np.argsort(-own)[1:3].tolist(), int(r.integers(len(own)))}
+            elif seen_by is not None and seen_by[i].max() > 0:
+                chosen = {int(seen_by[i].argmax())}
+            elif epoch >= 4 and _logistic(own[worst]) < 0.03:
                 continue  # a mark that the rest of the sample contradicts
-            chosen = {worst} if y > 0.5 else {worst, *np.argsort(-own)[1:3].tolist(), int(r.integers(len(own)))}
+            else:
+                chosen = {worst}
             for k in chosen:
-                easy = abs(1 / (1 + np.exp(-np.clip(own[k], -30, 30))) - y) < 0.02
+                easy = abs(_logistic(own[k]) - y) < 0.02
                 if epoch and easy and r.random() > 0.15:
                     continue
                 picked.append(padded[i][k * BLOCK : k * BLOCK + span])
@@ -267,29 +312,95 @@ def train(docs: Sequence[np.ndarray], target: np.ndarray, seed: int = 7, epochs:
                 part = order[at : at + 128]
                 seen = ids[part].copy()
                 seen[r.random(seen.shape[:2]) < 0.1] = 0  # a word less: no name or number may decide
-                _step(model, seen, y[part], memory, 0.06 if epoch < 5 else 0.03)
+                _step(model, seen, y[part], memory, 0.06 if 2 * epoch < epochs else 0.03)
+        model.words *= 1 - DECAY
+        model.shapes *= 1 - DECAY
     return model
 
 
-def calibrate(score: np.ndarray, target: np.ndarray, language: Sequence[str]) -> dict[str, float]:
-    """The threshold with the best F1 for each language that has enough cases, and for all together."""
-
-    def best(s: np.ndarray, y: np.ndarray) -> float:
-        order = np.argsort(-s)
-        hit = np.cumsum(y[order] > 0.5)
-        f1 = 2 * hit / (np.arange(1, len(s) + 1) + max(1, (y > 0.5).sum()))
-        top = f1 >= f1.max() - 0.003  # of near equals the middle: it is the least fitted to single marks
-        logit = np.log(np.clip(s[order], 1e-6, 1 - 1e-6) / np.clip(1 - s[order], 1e-6, 1))
-        return float(1 / (1 + np.exp(-np.median(logit[top]))))
-
-    out = {"": 0.5}
-    if (target > 0.5).sum() >= ENOUGH:
-        out[""] = float(np.clip(best(score, target), 0.2, 0.8))
-    tags = np.array(language)
-    for tag in np.unique(tags):
-        mine = tags == tag
-        if (target[mine] > 0.5).sum() >= ENOUGH:
-            out[str(tag)] = float(np.clip(best(score[mine], target[mine]), 0.2, 0.8))
+def cross_fit(docs: Sequence[np.ndarray], target: np.ndarray, half: np.ndarray) -> list[np.ndarray]:
+    """Log odds of each document's windows by a model fitted on the half that it is not in."""
+    out = [np.zeros(1)] * len(docs)
+    for side in (False, True):
+        others, own = np.flatnonzero(half != side), np.flatnonzero(half == side)
+        if len(others) and len(own):
+            logit, first = train([docs[i] for i in others], target[others], 7 + side, HALF_EPOCHS).windows([docs[i] for i in own])
+            for i, at, to in zip(own, first[:-1], first[1:], strict=True):
+                out[i] = logit[at:to]
+    return out
+
+
+def believable(target: np.ndarray, crossed: np.ndarray) -> np.ndarray:
+    """Which marks to keep: all but those plainly contradicted by the half that did not see them.
+
+    Nothing is set aside for a side (abusive or not) on which the contradicting models are wrong too
+    often, as those of a few marks are.
+    """
+    p = _logistic(crossed)
+    yes = target > 0.5
+    keep = np.ones(len(target), bool)
+    for sure, against in ((p < DOUBT[0], yes), (p > DOUBT[1], ~yes)):
+        if sure.any() and (sure & ~against).sum() >= RELIABLE * sure.sum():
+            keep &= ~(sure & against)
+    return keep
+
+
+def _bin(log_odds: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.asarray(log_odds) * 2) + BINS // 2, 0, BINS - 1).astype(int)
+
+
+def _shares(counts: np.ndarray, yes: np.ndarray, no: np.ndarray, start: float, weight: float) -> float:
+    """The share of cases in ``counts`` (documents by bin) by EM, given how cases and others spread over the bins."""
+    share = start
+    for _ in range(200):
+        of = share * yes / np.maximum(share * yes + (1 - share) * no, 1e-12)
+        share = float((counts @ of + weight * start) / max(1e-9, counts.sum() + weight))
+    return share
+
+
+def calibrate(crossed: tuple[np.ndarray, np.ndarray, list[str]], counts: dict[str, np.ndarray]) -> dict[str, float]:
+    """Threshold by language (``""`` for the others), from marked documents and scores of the corpus.
+
+    ``counts`` has the corpus's documents by bin of their log odds, by language. The share of cases
+    comes from EM over them, with the spread of cases and others as the marks have it; the expected F1
+    of a threshold then needs the share, what part of the marked cases passes and how many documents
+    of the corpus do. A language counts by itself as far as its own marks and documents go.
+    """
+    log_odds, target, tags = crossed
+    total = sum(counts.values(), np.zeros(BINS))
+    if not (target > 0.5).any():
+        return {"": 1.1}
+    if not total.sum() or (target > 0.5).all():
+        return {"": 0.5}
+    tags = np.array(tags)
+    bins = _bin(log_odds)
+    kernel = np.exp(-0.5 * (np.arange(-6, 7) / 1.5) ** 2)
+
+    def spread(which: np.ndarray) -> np.ndarray:
+        """Part of the marks in each bin, smoothed."""
+        x = np.convolve(np.bincount(bins[which], minlength=BINS), kernel / kernel.sum(), "same") + 1e-6
+        return x / x.sum()
+
+    def best(share: float, yes: np.ndarray, seen: np.ndarray) -> float:
+        passed = np.cumsum(yes[::-1])[::-1]
+        flagged = np.cumsum(seen[::-1])[::-1] / seen.sum()
+        f1 = 2 * np.minimum(share * passed, flagged) / (share + flagged)
+        top = np.flatnonzero(f1 >= f1.max() - 0.003)  # of near equals the middle
+        return float(_logistic((top[len(top) // 2] - BINS // 2) / 2))
+
+    sides = {True: target > 0.5, False: target <= 0.5}
+    common = {side: spread(which) for side, which in sides.items()}
+    share = _shares(total, common[True], common[False], 0.5, 0.0)
+    out = {"": best(share, common[True], total)}
+    for tag, seen in counts.items():
+        if not seen.sum():
+            continue
+        own = {}
+        for side, which in sides.items():
+            mine = which & (tags == tag)
+            own[side] = (mine.sum() * spread(mine) + SHRINK_MARKS * common[side]) / (mine.sum() + SHRINK_MARKS)
+        mixed = seen + total * SHRINK_DOCUMENTS / max(1.0, total.sum())
+        out[tag] = best(_shares(seen, own[True], own[False], share, SHRINK_DOCUMENTS), own[True], mixed)
     return out
 
 
@@ -305,13 +416,16 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """Train on a bounded sample of marked documents (one job, rows to the driver).
 
     Marks of one document are averaged; null marks and texts do not count. The sample holds at most
-    ``marked`` documents of at most ``LONGEST`` code points, so its size is bounded whatever the
-    tables hold. Without marks the model scores everything alike and no text passes the threshold.
+    ``marked`` documents of at most ``LONGEST`` code points each and ``MARKED_CHARS`` together, so its
+    size is bounded whatever the tables hold. Without marks the model scores everything alike and no
+    text passes the threshold.
     """
     marks = labels.filter(F.col(mark).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.avg(F.col(mark).cast("double")).alias("_y"))
     sample = F.broadcast(marks.orderBy(F.xxhash64("_key"), "_key").limit(marked))
     texts = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"), language_of(F.col(lang), F.col(text)).alias("_lang"))
-    rows = texts.join(sample, "_key").filter(F.length("_text") <= LONGEST).groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_lang").alias("_lang"), F.first("_y").alias("_y")).toPandas()
+    own = texts.join(sample, "_key").filter(F.length("_text") <= LONGEST).groupBy("_key").agg(F.first("_text").alias("_text"), F.first("_lang").alias("_lang"), F.first("_y").alias("_y"))
+    so_far = F.sum(F.length("_text")).over(Window.orderBy(F.xxhash64("_key"), "_key"))  # at most ``marked`` rows
+    rows = own.withColumn("_chars", so_far).filter(F.col("_chars") <= MARKED_CHARS).drop("_chars").toPandas()
     rows = rows.sort_values("_key", ignore_index=True)
     read = Tokens()
     docs = [read(t) for t in rows["_text"]]
@@ -320,17 +434,20 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         model = Model.fresh()
         model.thresholds = {"": 1.1}
         return model
-    held = np.array([zlib.crc32(str(k).encode()) % 1000 < HELD_OUT * 1000 for k in rows["_key"]])
-    model = train([d for d, h in zip(docs, held, strict=True) if not h], target[~held])
-    kept = [d for d, h in zip(docs, held, strict=True) if h]
-    model.thresholds = calibrate(model.scores(kept), target[held], rows["_lang"][held].tolist()) if kept else {"": 0.5}
+    half = np.array([zlib.crc32(str(k).encode()) % 2 == 0 for k in rows["_key"]])
+    by_window = cross_fit(docs, target, half)
+    crossed = np.array([w.max() for w in by_window])
+    keep = np.flatnonzero(believable(target, crossed))
+    model = train([docs[i] for i in keep], target[keep], seen_by=[by_window[i] for i in keep])
+    model.crossed = (crossed[keep], target[keep], rows["_lang"].iloc[keep].tolist())
+    model.thresholds = {"": 0.5}
     return model
 
 
-def score(documents: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Add ``abuse_score`` and ``abusive`` to ``documents``: whole texts, every row, no row moves.
+def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Add ``abuse_score`` to ``documents``: whole texts, every row, no row moves.
 
-    Null, empty and wordless texts score 0 and are not abusive.
+    Null, empty and wordless texts score 0.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -338,21 +455,30 @@ def score(documents: DataFrame, model: Model, text: str = "text", lang: str = "l
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         read, net = Tokens(), shared.value
         for texts in batches:
-            out, part, size = [], [], 0
-            for t in texts:
-                part.append(read(None if pd.isna(t) else t))
-                size += len(part[-1]) + 8
-                if size > 40_000:  # documents go through the filters together, up to this many words
-                    out.append(net.scores(part))
-                    part, size = [], 0
-            if part:
-                out.append(net.scores(part))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-    limits = model.thresholds
+            yield pd.Series(net.scores([read(None if pd.isna(t) else t) for t in texts]), dtype=float)
+
+    return documents.withColumn("abuse_score", run(F.col(text).cast("string")))
+
+
+def classify(documents: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Score ``documents`` and add ``abusive``; the text leaves, the other columns stay.
+
+    Scores are written once and counted by language over all rows; the thresholds follow from these
+    counts (``calibrate``). Null, empty and wordless texts score 0, are not counted and are not abusive.
+    """
+    tagged = score(documents.withColumn("_tag", language_of(F.col(lang), F.col(text))), model, text)
+    scored = cut(tagged.drop(text))
+    odds = F.log(F.col("abuse_score")) - F.log1p(-F.col("abuse_score"))
+    place = F.least(F.greatest(F.floor(odds * 2).cast("int") + BINS // 2, F.lit(0)), F.lit(BINS - 1))
+    # one row per language (two letters) and bin, whatever the number of documents
+    found = scored.filter("abuse_score > 0 and abuse_score < 1").groupBy("_tag", place.alias("_bin")).agg(F.count("*").alias("n")).collect()
+    counts: dict[str, np.ndarray] = {}
+    for tag, at, n in found:
+        counts.setdefault(tag, np.zeros(BINS))[at] += n
+    limits = calibrate(model.crossed, counts) if len(model.crossed[0]) else model.thresholds
+    model.thresholds = limits
     least = F.lit(float(limits.get("", 0.5)))
-    tag = language_of(F.col(lang), F.col(text))
     for name, value in limits.items():
         if name:
-            least = F.when(tag == name, float(value)).otherwise(least)
-    return documents.withColumn("abuse_score", run(F.col(text).cast("string"))).withColumn("abusive", F.col("abuse_score") >= least)
+            least = F.when(F.col("_tag") == name, float(value)).otherwise(least)
+    return scored.withColumn("abusive", (F.col("abuse_score") > 0) & (F.col("abuse_score") >= least)).drop("_tag")

@@ -71,7 +71,7 @@ def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 def _abuse(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    return abuse.score(documents, abuse.fit(documents, table(spark, sf, "review_labels")))
+    return abuse.classify(documents, abuse.fit(documents, table(spark, sf, "review_labels")))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
