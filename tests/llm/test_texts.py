@@ -2,6 +2,7 @@ import base64
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +144,38 @@ def test_turns_like_one_after_another(spark):
     assert got == want and len(want) > 50
 
 
+def neighbours(n, seed):
+    """Certain pairs of a recording in which two share a first name, so that it alone says nothing: only the gap does."""
+    r = np.random.default_rng(seed)
+    names, rows = ["Orla Venn", "Orla Kolvic", "Hestra Ulm"], []
+    for i in range(n):
+        a, b = (names[k] for k in r.integers(0, 3, 2))
+        gap = r.uniform(0, 1) if a == b else r.uniform(2, 9)
+        rows.append({"run_id": "r", "bucket": i // 40, "p_speaker": a, "speaker": b, "p_voice": f"n{names.index(a)}", "voice": f"n{names.index(b)}", "p_cost": 0, "cost": 0, "p_whole": True, "whole": True,
+                     "f_read": float(a == b), "f_cost": 0.0, "f_margin": 9.0, "f_label": float(a == b), "f_near": 1.0 if a == b else 0.4, "f_nobody": 0.0, "f_gap": gap, "f_before": 5.0, "f_words": 5.0, "f_ended": 0.0})
+    return pd.DataFrame(rows)
+
+
+def test_boundaries_learn_from_more_than_labels():
+    x, y = transcripts._learnt(neighbours(900, 1), 600)
+    model = boosting.boost(x, y, transcripts.FEATURES)
+    held, truth = transcripts._learnt(neighbours(900, 2), 600)
+    by_label = (held[:, 0] == truth).mean()
+    assert ((model.log_odds(held) > 0) == (truth > 0)).mean() > max(0.97, by_label)
+    assert model.splits()["f_gap"] > 0
+    pair = dict.fromkeys(transcripts.FEATURES, 0.0) | {"f_read": 1.0, "f_near": 0.6, "f_before": 5.0, "f_words": 5.0}
+    near, far = (np.array([[(pair | {"f_gap": gap})[f] for f in transcripts.FEATURES]]) for gap in (0.3, 6.0))
+    assert model.log_odds(near)[0] > 0 > model.log_odds(far)[0]
+
+
+def test_altered_labels_keep_their_voice():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        label = ["Selvi Tollvik", "SPEAKER_01", "Vesna-Mo Abernal"][int(r.integers(3))]
+        read = speakers.readings([("Selvi Tollvik", 9), ("SPEAKER_01", 9), ("Vesna-Mo Abernal", 9), (transcripts.altered(label, r), 1)])
+        assert len({v.voice for v in read.values()}) == 3
+
+
 def test_trees_in_sql_and_numpy(spark):
     r = np.random.default_rng(3)
     x = r.random((600, 3))

@@ -56,6 +56,17 @@ class Boosted:
             out += np.array([_leaf(tree, row) for row in x])
         return out
 
+    def splits(self) -> dict[str, int]:
+        """How many splits each feature decides."""
+        out = dict.fromkeys(self.names, 0)
+        rest = list(self.trees)
+        while rest:
+            node = rest.pop()
+            if node.low is not None and node.high is not None:
+                out[self.names[node.feature]] += 1
+                rest += [node.low, node.high]
+        return out
+
     def sql(self) -> str:
         """The log odds as SQL over the feature columns, so that scoring stays in generated code."""
         return " + ".join([repr(self.start), *(_sql(t, self.names) for t in self.trees)])

@@ -76,49 +76,69 @@ def _fit(words: tuple[str, ...], name: tuple[str, ...]) -> int:
     return score
 
 
-def voices(labels: Iterable[tuple[str | None, int]]) -> dict[str | None, str]:
+@dataclass(frozen=True)
+class Reading:
+    """The voice of a label, how badly the label fits it (0: plainly it), by how much any other fits worse, and whether it is a whole name or number."""
+
+    voice: str
+    cost: int = 0
+    margin: int = 9
+    whole: bool = True
+
+
+def readings(labels: Iterable[tuple[str | None, int]]) -> dict[str | None, Reading]:
     """Label to voice for the labels of one recording, given how often each occurs.
 
     Labels that name nobody share the voice ``?``. Full names gather spellings one slip away; then
     short forms and initials join the voice that they fit best, the more frequent one among equals,
     and stand for a voice of their own where they fit none.
     """
-    out: dict[str | None, str] = {}
+    out: dict[str | None, Reading] = {}
     named: dict[tuple[str, ...], int] = {}
     spelled: dict[tuple[str, ...], list[str | None]] = {}
     for raw, n in labels:
         label = read(raw)
         if label.nobody:
-            out[raw] = "?"
+            out[raw] = Reading("?")
         elif label.number is not None:
-            out[raw] = f"#{label.number}"
+            out[raw] = Reading(f"#{label.number}")
         else:
             named[label.words] = named.get(label.words, 0) + n
             spelled.setdefault(label.words, []).append(raw)
     found: list[Voice] = []
     full = lambda w: len(w) > 1 and not any(map(_initial, w))
     rank = lambda w: (not full(w), len(w) == 1, -named[w], w)
-    of: dict[tuple[str, ...], int] = {}
+    of: dict[tuple[str, ...], tuple[int, int, int]] = {}
     for words in sorted(named, key=rank):
         best, where = 3 if not full(words) else 2, -1
+        fits = []
         for i, voice in enumerate(found):
+            fits.append(9)
             for name in voice.names:
                 if full(words) and full(name):
                     a, b = " ".join(words), " ".join(name)
                     fit = 0 if a == b else 1 if distance(a, b) <= (1 if len(a) < 12 else 2) and _fit(words, name) < 9 else 9
                 else:
                     fit = _fit(words, name)
+                fits[-1] = min(fits[-1], fit)
                 if fit < best or (fit == best and fit < 9 and where >= 0 and voice.weight > found[where].weight and fit > 0):
                     best, where = fit, i
                 elif fit == best and fit == 3 and where < 0:
                     where = i
+        rivals = [f for i, f in enumerate(fits) if i != where]
+        of[words] = (where, fits[where], min([9, *rivals]) - fits[where]) if where >= 0 else (len(found), 0, 9)
         if where < 0:
             found.append(Voice())
             where = len(found) - 1
         found[where].names.append(words)
         found[where].weight += named[words]
-        of[words] = where
     for words, raws in spelled.items():
+        where, cost, margin = of[words]
         for raw in raws:
-            out[raw] = f"n{of[words]}"
+            out[raw] = Reading(f"n{where}", cost, max(0, margin), full(words))
     return out
+
+
+def voices(labels: Iterable[tuple[str | None, int]]) -> dict[str | None, str]:
+    """Label to voice for the labels of one recording."""
+    return {raw: r.voice for raw, r in readings(labels).items()}
