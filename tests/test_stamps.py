@@ -79,7 +79,7 @@ def test_mixture_decides_by_source(spark):
     rows = [("a", f"{d:02d}/03/2024 10:00:00") for d in range(13, 29)] + [("a", "04/05/2024 10:00:00")]
     rows += [("b", "04/05/2024 10:00:00"), ("b", "06/05/2024 10:00:00"), (None, "05/05/2024 10:00:00")]
     df = spark.createDataFrame(rows, "src string, stamp string")
-    got = stamps.resolve(df, "stamp", F.col("src"), F.lit("UTC"), F.lit(True), without=()).collect()
+    got = stamps.resolve(df, "stamp", F.col("src"), F.lit("UTC"), F.lit(True), conventions={}).collect()
     found = {(r["src"], r["stamp"]): (r["stamp_status"], r["epoch_us"]) for r in got}
     assert found["a", "04/05/2024 10:00:00"] == ("ok", us(2024, 5, 4, 10))
     assert found["b", "04/05/2024 10:00:00"] == ("ambiguous", None)
@@ -106,3 +106,21 @@ def test_norm_of_every_kind(spark, tmp_path):
     spark.createDataFrame([(1, "note", "A, b"), (2, "chat", "Да — нет!"), (3, "log", None)], "doc_id int, kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["sha"] for r in terms.f01_norm_all(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"a b").hexdigest(), 2: hashlib.sha256("да нет".encode()).hexdigest(), 3: None}
+
+
+def test_conventions_are_priors(spark):
+    """By the convention months come first with slashes, whatever else a source writes; what only breaks it is no stamp."""
+    rows = [("a", f"{d:02d}/03/2024 10:00:00") for d in range(13, 29)] + [("a", "04/05/2024 10:00:00"), ("a", "05.04.2024 10:00:00"), ("a", "soon"), ("b", "2024-04-05T10:00:00Z")]
+    rows += [("b", f"2024-01-01T00:00:{n % 60:02d}Z") for n in range(500)]
+    df = spark.createDataFrame(rows, "src string, stamp string")
+    got = {(r["src"], r["stamp"]): r for r in stamps.resolve(df, "stamp", F.col("src"), F.lit("UTC"), F.lit(True)).collect()}
+    assert (got["a", "04/05/2024 10:00:00"]["epoch_us"], got["a", "04/05/2024 10:00:00"]["stamp_readings"]) == (us(2024, 4, 5, 10), 2)
+    assert got["a", "05.04.2024 10:00:00"]["epoch_us"] == us(2024, 4, 5, 10)
+    assert got["a", "20/03/2024 10:00:00"]["stamp_status"] == "unusable" and got["a", "20/03/2024 10:00:00"]["stamp_readings"] == 1
+    assert got["a", "soon"]["stamp_readings"] == 0
+
+
+def test_a_rare_format_survives(spark):
+    counts = spark.createDataFrame([("s", ["iso"], 10**11), ("s", [], 10**10), ("s", ["compact"], 1)], "source string, readings array<string>, n bigint")
+    got = {r["fmt"]: r["weight"] for r in stamps.fit_weights(counts).collect()}
+    assert got["compact"] > 100 * got[stamps.JUNK]

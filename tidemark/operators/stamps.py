@@ -1,9 +1,10 @@
 """Free-text timestamps to one instant in UTC.
 
 A text is tried against every known format. Each format that fits and names a real date and time of
-day gives a candidate instant. Texts with several candidates are decided by a mixture of formats per
-source, fitted by expectation-maximisation over the counts of candidate sets; what stays undecided is
-marked ``ambiguous`` and gets no instant.
+day gives a candidate instant; that the text is no stamp at all is a candidate too. A mixture of formats
+per source, fitted by expectation-maximisation over the counts of candidate sets, gives each candidate
+its posterior. A convention that is known beforehand, as month first with slashes, enters as the prior
+likelihood of the reading that breaks it. What stays undecided is marked ``ambiguous`` and gets no instant.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import small_rows
+from tidemark.session import cut, small_rows
 
 #: Offsets in minutes that an abbreviation may stand for; several make it ambiguous.
 ABBREVIATIONS: Mapping[str, tuple[int, ...]] = {
@@ -61,8 +62,10 @@ FORMATS: tuple[Format, ...] = (
 )
 #: Digits before the point of a count since 1970, and how many of the count make a second.
 EPOCHS = (("epoch_s", r"^(\d{9,10})(?:[.,](\d+))?$", 0), ("epoch_ms", r"^(\d{12,13})(?:[.,](\d+))?$", 3), ("epoch_us", r"^(\d{16})$", 6), ("epoch_ns", r"^(\d{19})$", 9))
-#: Formats left out because a convention settles them: month first with slashes, day first with dots.
-CONVENTIONS = ("slash_dmy", "dot_mdy")
+#: Likelihood of a reading that breaks a convention: month first with slashes, day first with dots.
+CONVENTIONS: Mapping[str, float] = {"slash_dmy": 1e-24, "dot_mdy": 1e-24}
+#: Likelihood of a text that fits a format and yet is no stamp: below the share of any format, however rare in however many rows.
+JUNK, JUNK_LIKELIHOOD = "none", 1e-15
 #: A posterior below this leaves a text ambiguous.
 CERTAIN = 0.9
 ROUNDS = 25
@@ -126,9 +129,9 @@ def _counted(name: str, pattern: str, digits: int) -> str:
     return f"if(t rlike r'{pattern}', array({_made(name, micros + finer, '0', 'null')}), {_NONE})"
 
 
-def candidates(text: str, without: tuple[str, ...] = CONVENTIONS) -> Column:
+def candidates(text: str) -> Column:
     """Every valid reading of the column ``text``: an array of format, wall clock, offset and region."""
-    every = ", ".join([_calendar(f) for f in FORMATS if f.name not in without] + [_counted(*e) for e in EPOCHS])
+    every = ", ".join([_calendar(f) for f in FORMATS] + [_counted(*e) for e in EPOCHS])
     trimmed = rf"regexp_replace(`{text}`, r'^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '')"
     return F.expr(f"if(`{text}` is null, {_NONE}, {_let(trimmed, 't', f'concat({every})')})")
 
@@ -142,67 +145,78 @@ def to_utc(wall_us: Column, zone: Column) -> Column:
     return F.when(known & wall_us.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall_us), zone)))
 
 
-def fit_weights(counts: DataFrame) -> DataFrame:
+def fit_weights(counts: DataFrame, conventions: Mapping[str, float] = CONVENTIONS) -> DataFrame:
     """EM per source: ``source, readings, n`` (``readings``: the formats that fit) to ``source, fmt, weight``.
 
-    The rows are counts of candidate sets, so a group has as many rows as there are different sets
-    of formats, however many texts its source has.
+    A weight is the format's share of the source's texts times the likelihood that its convention
+    leaves it, so that the posterior of a reading is its part of the weights of all readings of its
+    text. The rows are counts of candidate sets, so a group has as many rows as there are different
+    sets of formats, however many texts its source has.
     """
 
     def em(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({f for r in pdf["readings"] for f in r})
+        names = [*sorted({f for r in pdf["readings"] for f in r}), JUNK]
         at = {f: i for i, f in enumerate(names)}
-        valid = np.zeros((len(pdf), len(names)))
+        prior = np.array([conventions.get(f.partition("@")[0], 1.0) for f in names[:-1]] + [JUNK_LIKELIHOOD])
+        likely = np.zeros((len(pdf), len(names)))
+        likely[:, -1] = JUNK_LIKELIHOOD
         for i, r in enumerate(pdf["readings"]):
             for f in r:
-                valid[i, at[f]] = 1.0
+                likely[i, at[f]] = prior[at[f]]
         n = pdf["n"].to_numpy(float)[:, None]
-        weight = np.full(len(names), 1 / max(1, len(names)))
+        share = np.full(len(names), 1 / len(names))
         for _ in range(ROUNDS):
-            post = valid * weight
-            post /= np.maximum(post.sum(1, keepdims=True), 1e-300)
-            weight = (post * n).sum(0) + 1e-3  # a light prior keeps every format possible
-            weight /= weight.sum()
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "fmt": names, "weight": weight})
+            post = likely * share
+            post /= post.sum(1, keepdims=True)
+            share = (post * n).sum(0) + 1e-3  # a light prior keeps every format possible
+            share /= share.sum()
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "fmt": names, "weight": share * prior})
 
     return counts.groupBy("source").applyInPandas(em, "source string, fmt string, weight double")
 
 
-def resolve(df: DataFrame, text: str, source: Column, home_zone: Column, naive_utc: Column, without: tuple[str, ...] = CONVENTIONS) -> DataFrame:
-    """Add ``epoch_us`` and ``stamp_status`` (``ok``, ``ambiguous``, ``unusable``) to ``df``.
+def resolve(df: DataFrame, text: str, source: Column, home_zone: Column, naive_utc: Column, conventions: Mapping[str, float] = CONVENTIONS) -> DataFrame:
+    """Add ``epoch_us``, ``stamp_status`` (``ok``, ``ambiguous``, ``unusable``) and ``stamp_readings`` to ``df``.
 
     ``source`` groups texts that share habits, ``naive_utc`` says whether a text without a zone is
     UTC; else it is the wall clock of ``home_zone`` and unusable where that is null or unknown. Null,
-    empty and unreadable texts and impossible dates are unusable. Rows are neither joined away nor
-    repeated; columns that the operator adds while it works start with ``_stamp_``.
+    empty and unreadable texts and impossible dates are unusable, as are texts of which the mixture
+    rather believes that they are no stamp. ``stamp_readings`` counts the formats that fit. Rows are
+    neither joined away nor repeated; columns that the operator adds while it works start with ``_stamp_``.
+    Each row's text is parsed once: the readings are written to the shared folder, from where the
+    weights are fitted and the rows decided.
     """
     zone = F.when(naive_utc, F.lit("UTC")).otherwise(home_zone)
     base = df.withColumn("_stamp_source", F.coalesce(source, F.lit(""))).withColumn("_stamp_zone", zone)
-    read = F.transform(candidates(text, without), lambda c: F.struct(
+    read = F.transform(candidates(text), lambda c: F.struct(
         F.concat(c["fmt"], F.coalesce(F.concat(F.lit("@"), c["offset_min"].cast("string")), F.lit(""))).alias("fmt"), c["fmt"].alias("plain"),
         c["wall_us"].alias("wall_us"), c["offset_min"].alias("offset_min"), c["region"].alias("region")))
-    base = base.withColumn("_stamp_read", read)
+    base = cut(base.withColumn("_stamp_read", read))
     # the zone of a number or an unambiguous name is no habit worth a component
     base = base.withColumn("_stamp_many", F.size(F.array_distinct(F.transform("_stamp_read", lambda c: c["wall_us"] - F.coalesce(c["offset_min"], F.lit(0)).cast("long") * 60_000_000))) > 1)
     base = base.withColumn("_stamp_key", F.transform("_stamp_read", lambda c: F.when(F.col("_stamp_many"), c["fmt"]).otherwise(c["plain"])))
-    counts = base.select(F.col("_stamp_source").alias("source"), F.array_sort(F.array_distinct("_stamp_key")).alias("readings")).filter(F.size("readings") > 0).groupBy("source", "readings").agg(F.count("*").alias("n"))
-    fitted = fit_weights(counts)
+    counts = base.select(F.col("_stamp_source").alias("source"), F.array_sort(F.array_distinct("_stamp_key")).alias("readings")).groupBy("source", "readings").agg(F.count("*").alias("n"))
+    fitted = fit_weights(counts, conventions)
     rows = small_rows(fitted, BROADCAST_WEIGHTS)
     if rows is not None:
         fitted = df.sparkSession.createDataFrame(rows, fitted.schema)
     maps = fitted.groupBy(F.col("source").alias("_stamp_source")).agg(F.map_from_entries(F.collect_list(F.struct("fmt", "weight"))).alias("_stamp_weights"))
     base = base.join(F.broadcast(maps) if rows is not None else maps, "_stamp_source", "left")
+    weight = lambda key: F.coalesce(F.element_at(F.coalesce("_stamp_weights", F.create_map().cast("map<string,double>")), key), F.lit(1e-30))
     weigh = F.transform(F.arrays_zip("_stamp_read", "_stamp_key"), lambda z: F.struct(
-        F.coalesce(F.element_at(F.coalesce("_stamp_weights", F.create_map().cast("map<string,double>")), z["_stamp_key"]), F.lit(1e-9)).alias("w"),
+        weight(z["_stamp_key"]).alias("w"),
         F.when(z["_stamp_read"]["offset_min"].isNotNull(), z["_stamp_read"]["wall_us"] - z["_stamp_read"]["offset_min"].cast("long") * 60_000_000)
         .otherwise(to_utc(z["_stamp_read"]["wall_us"], F.coalesce(z["_stamp_read"]["region"], F.col("_stamp_zone")))).alias("us")))
-    base = base.withColumn("_stamp_weighed", weigh)
-    total = F.aggregate("_stamp_weighed", F.lit(0.0), lambda a, x: a + x["w"])
+    base = base.withColumn("_stamp_weighed", weigh).withColumn("_stamp_junk", weight(F.lit(JUNK)))
+    total = F.aggregate("_stamp_weighed", F.col("_stamp_junk"), lambda a, x: a + x["w"])
     best = F.array_max("_stamp_weighed")
     same = F.aggregate(F.filter("_stamp_weighed", lambda x: x["us"].eqNullSafe(best["us"])), F.lit(0.0), lambda a, x: a + x["w"])
-    base = base.withColumn("_stamp_best", best).withColumn("_stamp_sure", same >= CERTAIN * total)
-    status = F.when(F.size("_stamp_weighed") == 0, "unusable").when(~F.col("_stamp_sure"), "ambiguous").when(F.col("_stamp_best.us").isNull(), "unusable").otherwise("ok")
-    out = base.withColumn("stamp_status", status).withColumn("epoch_us", F.when(F.col("stamp_status") == "ok", F.col("_stamp_best.us")))
+    base = base.withColumn("_stamp_best", best).withColumn("_stamp_same", same).withColumn("_stamp_total", total)
+    status = (
+        F.when((F.size("_stamp_weighed") == 0) | (F.col("_stamp_junk") >= F.col("_stamp_same")), "unusable")
+        .when(F.col("_stamp_same") < CERTAIN * F.col("_stamp_total"), "ambiguous").when(F.col("_stamp_best.us").isNull(), "unusable").otherwise("ok")
+    )
+    out = base.withColumn("stamp_status", status).withColumn("epoch_us", F.when(F.col("stamp_status") == "ok", F.col("_stamp_best.us"))).withColumn("stamp_readings", F.size(F.array_distinct("_stamp_key")))
     return out.drop(*[c for c in out.columns if c.startswith("_stamp_")])
 
 
@@ -212,12 +226,12 @@ def source_name(column: Column) -> Column:
 
 
 def instants(media: DataFrame, runs: DataFrame) -> DataFrame:
-    """``origin, rec_key, stamp, epoch_us, stamp_status``, one row per different stamp of a record."""
+    """``origin, rec_key, stamp, habit, epoch_us, stamp_status, stamp_readings``, one row per different stamp of a record."""
     source = source_name(F.col("recorded_at_source"))
     m = media.select(F.lit("media").alias("origin"), F.col("sha256").alias("rec_key"), F.col("recorded_at").alias("stamp"), source.alias("habit"), F.col("home_zone").alias("zone"), (source == "container tag").alias("utc"))
     r = runs.select(F.lit("runs").alias("origin"), F.col("run_id").alias("rec_key"), F.col("created_at").alias("stamp"), F.lit("created_at").alias("habit"), F.lit(None).cast("string").alias("zone"), F.lit(True).alias("utc"))
     rows = m.unionByName(r).distinct()
-    return resolve(rows, "stamp", F.col("habit"), F.col("zone"), F.col("utc")).select("origin", "rec_key", "stamp", "epoch_us", "stamp_status")
+    return resolve(rows, "stamp", F.col("habit"), F.col("zone"), F.col("utc")).select("origin", "rec_key", "stamp", "habit", "epoch_us", "stamp_status", "stamp_readings")
 
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=UTC)

@@ -21,8 +21,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Stamps by origin and outcome, unresolved ones included."""
-    return _stamps(spark, sf).groupBy("origin", "stamp_status").agg(F.count("*").alias("n"))
+    """Stamps by origin, source and outcome, unresolved ones included, and how many of them several formats fit."""
+    by = _stamps(spark, sf).groupBy("origin", "habit", "stamp_status")
+    return by.agg(F.count("*").alias("n"), F.count_if(F.col("stamp_readings") > 1).alias("with_several_readings"))
 
 
 def _intervals(spark: SparkSession, sf: str) -> DataFrame:
