@@ -1,7 +1,7 @@
 """Overlapping and gapped intervals: continuous periods and the gaps between them.
 
-The aggregate is a sorted list of disjoint intervals. ``merge_lists`` is its linear merge; partial
-lists are made per Arrow batch on the map side, merged per salted key, then per key. The axis of an
+The aggregate is a sorted list of disjoint intervals. ``merge_lists`` is its linear merge. Partial lists
+are made per Arrow batch on the map side, joined per salted key, then merged per key in a tree. The axis of an
 entity is cut into buckets, so the state of a key is bounded by the bucket's length, whatever
 number of rows it holds, and only the furthest end travels from bucket to bucket.
 """
@@ -43,11 +43,38 @@ def disjoint(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return group[first], start[first], ends
 
 
-def merge_lists(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Linear merge of two sorted disjoint lists (starts, ends) into one."""
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def merge_lists(a: Lists, b: Lists) -> Lists:
+    """Linear merge of two sorted disjoint lists (starts, ends) into one; touching intervals join."""
+    if not len(a[0]) or not len(b[0]):
+        return b if len(b[0]) else a
     start, end = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-    _, s, e = disjoint(np.zeros(len(start), np.int64), start, end)
-    return s, e
+    order = np.argsort(start, kind="stable")  # two sorted runs: a stable sort of them is one merging pass
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    opens = np.append(True, start[1:] > reach[:-1])
+    return start[opens], reach[np.append(np.flatnonzero(opens)[1:], len(start)) - 1]
+
+
+class Tree:
+    """Lists of one key merged as they come, two of like size at a time, so that each is merged log times."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[int, Lists]] = []
+
+    def add(self, item: Lists) -> None:
+        level = 0
+        while self.held and self.held[-1][0] == level:
+            item = merge_lists(self.held.pop()[1], item)
+            level += 1
+        self.held.append((level, item))
+
+    def root(self) -> Lists:
+        out = self.held[-1][1]
+        for _, item in reversed(self.held[:-1]):
+            out = merge_lists(item, out)
+        return out
 
 
 def _lists(keys: Sequence[str], nested: bool) -> object:
@@ -112,10 +139,10 @@ def covered_lists(df: DataFrame, keys: Sequence[str], start: Column, end: Column
 
 
 def _ordered(keys: Sequence[str]) -> object:
-    """The last level: lists come ordered by key; each key leaves once, holding one running list."""
+    """The last level: lists come ordered by key and are merged in a tree; each key leaves once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, done = None, None, []
+        key, tree, done = None, Tree(), []
 
         def emit() -> pa.RecordBatch:
             cols = [pa.array([d[0][i] for d in done], kinds[i]) for i in range(len(keys))]
@@ -130,18 +157,16 @@ def _ordered(keys: Sequence[str]) -> object:
             so, sv, ev = starts.offsets.to_numpy(), starts.values.to_numpy(), ends.values.to_numpy()
             eo = ends.offsets.to_numpy()
             for i, k in enumerate(zip(*columns, strict=True)):
-                item = (sv[so[i] : so[i + 1]], ev[eo[i] : eo[i + 1]])
-                if key is not None and k == key:
-                    state = merge_lists(state, item)
-                    continue
-                if key is not None:
-                    done.append((key, state))
-                key, state = k, item
+                if k != key:
+                    if key is not None:
+                        done.append((key, tree.root()))
+                    key, tree = k, Tree()
+                tree.add((sv[so[i] : so[i + 1]], ev[eo[i] : eo[i + 1]]))
             if len(done) > 5000:
                 yield emit()
                 done = []
         if key is not None:
-            done.append((key, state))
+            done.append((key, tree.root()))
             yield emit()
 
     return run
@@ -176,15 +201,19 @@ def gaps(df: DataFrame, keys: Sequence[str], start: Column, end: Column, bucket_
 def periods(df: DataFrame, keys: Sequence[str], start: Column, end: Column, bucket_ms: int = BUCKET_MS) -> DataFrame:
     """``keys, start_ms, end_ms``: the continuous periods of each entity; touching intervals join.
 
-    They are the complement of the gaps between the entity's first start and last end, taken with a
-    window over gaps alone.
+    A period ends where the next gap begins. Within a bucket that is the next mark of its list; between
+    buckets one summary row per bucket travels, with the first gap in it and the furthest end.
     """
     lists = with_reach(covered_lists(df, keys, start, end, bucket_ms), keys)
     opened = F.transform(_gap_array(), lambda g: F.struct(g["gap_end_ms"].alias("s"), g["gap_start_ms"].alias("before")))
     first = F.when(F.col("reach").isNull(), F.array(F.struct(F.col("starts")[0].alias("s"), F.lit(None).cast("long").alias("before"))))
-    marks = lists.select(*keys, "bucket", F.explode_outer(F.concat(F.coalesce(first, F.array().cast("array<struct<s:bigint,before:bigint>>")), opened)).alias("m"), F.greatest(F.element_at("ends", -1), F.col("reach")).alias("far"))
-    along = W.partitionBy(*keys).orderBy(F.col("bucket"), F.col("m.s"))
-    last = marks.groupBy(*keys).agg(F.max("far").alias("_last")).select(*[F.col(k).alias(f"_{k}") for k in keys], "_last")
-    opened_rows = marks.filter(F.col("m").isNotNull()).select(*keys, F.col("m.s").alias("start_ms"), F.lead("m.before").over(along).alias("_next"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return opened_rows.join(last, on).select(*keys, "start_ms", F.coalesce("_next", "_last").alias("end_ms"))
+    # the first list of an entity has no reach, so the gaps inside it are taken against its own ends
+    marks = lists.select(*keys, "bucket", F.concat(F.coalesce(first, F.array().cast("array<struct<s:bigint,before:bigint>>")), opened).alias("m"), F.greatest(F.element_at("ends", -1), F.col("reach")).alias("far"))
+    after = W.partitionBy(*keys).orderBy("bucket").rowsBetween(1, W.unboundedFollowing)
+    whole = W.partitionBy(*keys)
+    summary = marks.select(*keys, "bucket", F.get("m.before", F.lit(0)).alias("_opens"), "far")
+    ahead = summary.withColumn("_next", F.first("_opens", ignorenulls=True).over(after)).withColumn("_last", F.max("far").over(whole))
+    ahead = ahead.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("bucket").alias("_b"), F.coalesce("_next", "_last").alias("_end"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("bucket") == F.col("_b")]
+    ended = F.transform("m", lambda x, i: F.struct(x["s"].alias("start_ms"), F.coalesce(F.get("m", i + 1)["before"], F.col("_end")).alias("end_ms")))
+    return marks.filter(F.size("m") > 0).join(ahead, on).select(*keys, F.explode(ended).alias("x")).select(*keys, "x.*")
