@@ -124,34 +124,70 @@ def width_of(terms: DataFrame) -> int:
     return (most or 1) + 1
 
 
-def lookalikes(values: DataFrame, terms: DataFrame, like: float = LIKE, heard: bool = False) -> DataFrame:
-    """``phrase, term, score``: each distinct phrase of ``values`` with the term that it is most like, if like enough.
+def letters(column: str) -> Column:
+    """The letters of a text as 64 bits. An edit takes or brings one letter, so letters that are missing count edits."""
+    return F.expr(f"aggregate(split({column}, ''), 0L, (m, c) -> m | shiftleft(1L, pmod(ascii(c), 64)))")
+
+
+def lookalikes(values: DataFrame, terms: DataFrame, like: float = LIKE, heard: bool = False, wide: float | None = None) -> DataFrame:
+    """``phrase, term, score, caught``: each distinct phrase of ``values`` with the term that it is most like, if like enough.
 
     A phrase that holds the term is not one, a phrase of more words must be of about the same length
-    and ``WIDE`` more alike. Ties go to the term with priority. Terms, at most ``MAX_TERMS``, stand
-    in every length that can reach the likeness and meet phrases by length, so no phrase is compared
-    with terms that cannot match. With ``heard`` the likeness of the sound counts too,
-    and phrases meet terms by the length of either.
+    and score ``wide`` (``WIDE`` more than ``like``). With ``heard`` the likeness of the sound counts
+    too, and the better reading of a pair decides. Ties go to the term with priority. ``caught`` says
+    whether the phrase is like enough to some term for a flag, whatever ``like`` is.
+
+    Terms, at most ``MAX_TERMS``, stand in every length that can reach the likeness and meet phrases
+    by length, as written and as heard; edits are counted only for pairs whose letters allow it, and
+    no further than ``like`` does.
     """
     good = admitted(terms).select("priority", "term", text.casefold(F.col("term")).alias("low"))
     distinct = values.select("phrase").distinct().withColumn("phrase_low", text.casefold(F.col("phrase")))
     # scoring costs far more than moving a phrase, and phrases are too few bytes for AQE to spread
-    distinct = distinct.repartition(values.sparkSession.sparkContext.defaultParallelism * 2, "phrase")
+    session = values.sparkSession
+    parts = max(2 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    s, t = distinct.repartition(parts, "phrase"), good
     if heard:
-        return _heard(distinct, good, like)
-    n = F.length("low")
-    placed = good.withColumn("length", F.explode(F.sequence(F.ceil(n * like - 1e-9).cast("int"), F.floor(n / like + 1e-9).cast("int"))))
-    pairs = distinct.withColumn("length", F.length("phrase_low")).join(F.broadcast(placed), "length")
-    many = F.size(F.split("phrase", " ")) > F.size(text.tokens(F.col("term")))
+        s, t = s.withColumn("sound", skeletons(F.col("phrase"))), t.withColumn("term_sound", skeletons(F.col("term")))
+    reach = lambda n: F.sequence(F.ceil(n * like - 1e-9).cast("int"), F.floor(n / like + 1e-9).cast("int"))
+    many = F.size(F.split("phrase", " ")) > F.col("term_words")
     tight = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
-    near = F.abs(tight(F.col("phrase")) - tight(F.col("term"))) <= SLACK
-    need = F.when(many, like + WIDE).otherwise(F.lit(like))
-    longest = F.greatest(F.length("phrase_low"), F.length("low"))
-    within = F.floor((1 - like) * longest + 1e-9).cast("int")
-    gated = pairs.filter(~many | near).withColumn("longest", longest).withColumn("within", within).withColumn("d", F.expr("levenshtein(phrase_low, low, within)"))
-    scored = gated.filter((F.col("d") >= 0) & ~F.contains("phrase_low", "low")).withColumn("score", 1 - F.col("d") / F.col("longest")).filter(F.col("score") >= need)
+    near = F.abs(F.col("tight") - F.col("term_tight")) <= SLACK
+    need = F.when(many, like + WIDE if wide is None else wide).otherwise(F.lit(like))
+    flag = F.col("score") >= F.when(many, LIKE + WIDE).otherwise(F.lit(LIKE))
+    s = s.withColumn("tight", tight(F.col("phrase")))
+    t = t.withColumn("term_tight", tight(F.col("term"))).withColumn("term_words", F.size(text.tokens(F.col("term"))))
+
+    def read(phrase: str, term: str) -> DataFrame:
+        placed = t.withColumn("theirs", letters(term)).withColumn("length", F.explode(reach(F.length(term))))
+        pairs = s.withColumn("own", letters(phrase)).withColumn("length", F.length(phrase)).join(F.broadcast(placed), "length").filter(~many | near)
+        longest = F.greatest(F.length(phrase), F.length(term))
+        pairs = pairs.withColumn("longest", longest).withColumn("within", F.floor((1 - like) * longest + 1e-9).cast("int"))
+        alike = pairs.filter(F.expr("bit_count(own & ~theirs) <= within and bit_count(theirs & ~own) <= within"))
+        counted = alike.withColumn("d", F.expr(f"levenshtein({phrase}, {term}, within)")).filter("d >= 0").filter(~F.contains("phrase_low", "low"))
+        score = F.when(F.col("longest") == 0, F.lit(1.0)).otherwise(1 - F.col("d") / F.col("longest"))
+        return counted.withColumn("score", score).filter(F.col("score") >= need).select("phrase", "priority", "term", "score", flag.alias("caught"))
+
+    scored = read("phrase_low", "low")
+    if heard:
+        scored = read("sound", "term_sound").unionByName(scored)
     best = F.max(F.struct("score", (-F.col("priority")).alias("minus"), "term"))
-    return scored.groupBy("phrase").agg(best.alias("b")).select("phrase", "b.term", "b.score")
+    return scored.groupBy("phrase").agg(best.alias("b"), F.bool_or("caught").alias("caught")).select("phrase", "b.term", "b.score", "caught")
+
+
+def near_misses(values: DataFrame, terms: DataFrame, most: int = 20, floor: float = 0.5) -> DataFrame:
+    """``phrase, term, score``: the ``most`` phrases most like a term among those that no term catches.
+
+    A phrase of more words must score ``WIDE`` over ``floor``. The search goes down from close below
+    the flag and stops where enough are found: whatever scores less cannot come before them.
+    """
+    for like in (0.75, 0.65, floor):
+        found = lookalikes(values, terms, like, heard=True, wide=max(like, floor + WIDE)).filter("not caught").drop("caught")
+        top = found.orderBy(F.desc("score"), "phrase").limit(most)
+        rows = top.collect()  # at most ``most``
+        if len(rows) == most or like == floor:
+            break
+    return values.sparkSession.createDataFrame(rows, found.schema)
 
 
 # Cyrillic letters in a Latin skeleton, and sounds that a recording does not keep apart.
@@ -185,34 +221,6 @@ def likeness(a: Column, b: Column, sound_a: Column, sound_b: Column) -> Column:
     return F.when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(text.ratio(text.casefold(a), text.casefold(b)), text.ratio(sound_a, sound_b)))
 
 
-def _heard(distinct: DataFrame, good: DataFrame, like: float) -> DataFrame:
-    """Lookalikes by writing or sound: each reading meets the terms whose length in it can reach the likeness.
-
-    The better reading of a pair counts. One that cannot reach ``like`` never decides, so edits are
-    counted as far as ``like`` allows and no further.
-    """
-    s = distinct.withColumn("sound", skeletons(F.col("phrase")))
-    t = good.withColumn("term_sound", skeletons(F.col("term")))
-    reach = lambda n: F.sequence(F.ceil(n * like - 1e-9).cast("int"), F.floor(n / like + 1e-9).cast("int"))
-    many = F.size(F.split("phrase", " ")) > F.size(text.tokens(F.col("term")))
-    tight = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
-    near = F.abs(tight(F.col("phrase")) - tight(F.col("term"))) <= SLACK
-    need = F.when(many, like + WIDE).otherwise(F.lit(like))
-
-    def read(phrase: str, term: str) -> DataFrame:
-        placed = t.withColumn("length", F.explode(reach(F.length(term))))
-        pairs = s.withColumn("length", F.length(phrase)).join(F.broadcast(placed), "length").filter(~many | near)
-        longest = F.greatest(F.length(phrase), F.length(term))
-        pairs = pairs.withColumn("longest", longest).withColumn("within", F.floor((1 - like) * longest + 1e-9).cast("int"))
-        counted = pairs.withColumn("d", F.expr(f"levenshtein({phrase}, {term}, within)")).filter("d >= 0").filter(~F.contains("phrase_low", "low"))
-        score = F.when(F.col("longest") == 0, F.lit(1.0)).otherwise(1 - F.col("d") / F.col("longest"))
-        return counted.withColumn("score", score).filter(F.col("score") >= need).select("phrase", "priority", "term", "score")
-
-    scored = read("sound", "term_sound").unionByName(read("phrase_low", "low"))
-    best = F.max(F.struct("score", (-F.col("priority")).alias("minus"), "term"))
-    return scored.groupBy("phrase").agg(best.alias("b")).select("phrase", "b.term", "b.score")
-
-
 def _ordered(terms: DataFrame) -> Column:
     return F.array_sort(F.collect_list(F.struct("priority", "term", "aka", "note")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import confidence, plugins, readings
 from tidemark.plans import base
 from tidemark.plans.base import SEGMENTS, oracle
-from tidemark.session import shared_folder, table
+from tidemark.session import kept, shared_folder, table
 from tidemark.sources import logs
 from tidemark.streaming import gate, live
 
@@ -41,16 +41,20 @@ def x01_utterances(spark: SparkSession, sf: str) -> DataFrame:
     return gate.utterances(_levels(table(spark, sf, "events"))).filter("kind <> 'draft'")
 
 
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    schema = table(spark, sf, "events").schema
+    return gate.utterance_stream(_levels(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/event[s].parquet")))
+
+
 @query()
 def x01_utterance_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over a stream of the event files, written to a table of the shared folder and read back."""
-    schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/event[s].parquet")
-    found = gate.utterance_stream(_levels(stream)).filter("kind <> 'draft'")
+    """The same over a stream of the event files, written to a table of the shared folder and read back, the end included."""
+    found = _streamed(spark, sf).filter("kind <> 'draft'")
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     run = found.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(found.schema).parquet(f"{at}/out")
+    ended = spark.read.schema(found.schema).parquet(f"{at}/out").unionByName(gate.unfinished(spark, f"{at}/log"))
+    return kept(ended, at)
 
 
 @query()
@@ -59,6 +63,15 @@ def x05_session(spark: SparkSession, sf: str) -> DataFrame:
     return gate.current(gate.utterances(_levels(table(spark, sf, "events"))))
 
 
+@query()
+def x06_settling_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as the stream's sink has it, before the last utterances end."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    sink = gate.Settling(spark, f"{at}/shown")
+    _streamed(spark, sf).writeStream.foreachBatch(sink).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return kept(sink.shown(), at)
+
+
 @query("""WITH r AS (SELECT user_id AS stream_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT stream_id, max(n) AS n, max(value) AS peak, round(CASE WHEN max(n) < 10 THEN 1.0 ELSE max(value) FILTER (i = n * 9 // 10) / greatest(max(value) FILTER (i = n // 10), 1.0) END, 6) AS swing FROM r GROUP BY stream_id""")
 def a12_a13_meter(spark: SparkSession, sf: str) -> DataFrame:

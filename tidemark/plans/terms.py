@@ -9,10 +9,12 @@ from tidemark.functions import text
 from tidemark.operators import glossary
 from tidemark.plans import base
 from tidemark.plans.base import SEGMENTS, oracle
-from tidemark.session import table
+from tidemark.session import join_small, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Terms up to which a glossary is broadcast to names.
+KNOWN_TERMS = 100_000
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -95,14 +97,14 @@ bt AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, pri
     select="SELECT phrase, term, round(score, 6) AS score FROM bt WHERE k = 1"))
 def j04_lookalikes(spark: SparkSession, sf: str) -> DataFrame:
     terms = table(spark, sf, "terms")
-    found = glossary.lookalikes(_phrases(spark, sf, glossary.width_of(terms)), terms)
+    found = glossary.lookalikes(_phrases(spark, sf, glossary.width_of(terms)), terms).drop("caught")
     return found.withColumn("score", F.round("score", 6))
 
 
 @query()
 def j04_soundalikes(spark: SparkSession, sf: str) -> DataFrame:
     terms = table(spark, sf, "terms")
-    found = glossary.lookalikes(_phrases(spark, sf, glossary.width_of(terms)), terms, heard=True)
+    found = glossary.lookalikes(_phrases(spark, sf, glossary.width_of(terms)), terms, heard=True).drop("caught")
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -120,10 +122,8 @@ def c03_apply_glossary(spark: SparkSession, sf: str) -> DataFrame:
 def o04_near_misses(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 phrases most like a term, as written or by sound, among those that stay below the threshold."""
     terms = table(spark, sf, "terms")
-    grams = _phrases(spark, sf, glossary.width_of(terms))
-    caught = glossary.lookalikes(grams, terms, heard=True)
-    below = glossary.lookalikes(grams, terms, like=0.5, heard=True).join(caught.select("phrase"), "phrase", "left_anti")
-    return below.orderBy(F.desc("score"), "phrase").limit(20).withColumn("score", F.round("score", 6))
+    found = glossary.near_misses(_phrases(spark, sf, glossary.width_of(terms)), terms)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -187,7 +187,7 @@ def t04_merge_aliases(spark: SparkSession, sf: str) -> DataFrame:
     select="SELECT name FROM nm WHERE name <> '' AND name NOT IN (SELECT lower(term) FROM terms)"))
 def t05_new_terms(spark: SparkSession, sf: str) -> DataFrame:
     names = _entries(spark, sf).select(F.lower(text.squeeze(F.col("entry.term"))).alias("name")).filter("name <> ''").distinct()
-    return names.join(F.broadcast(table(spark, sf, "terms").select(F.lower("term").alias("name"))), "name", "left_anti")
+    return join_small(names, table(spark, sf, "terms").select(F.lower("term").alias("name")), ["name"], "left_anti", KNOWN_TERMS)
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g')) AS norm FROM documents WHERE kind = 'note'")

@@ -37,6 +37,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame, folder: str) -> DataFrame:
+    """``df``, written out of ``folder`` into a checkpoint of its own; the folder goes."""
+    out = cut(df)
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def small_rows(df: DataFrame, most: int) -> list | None:
     """The rows of ``df`` if there are at most ``most`` of them, else None (one bounded job)."""
     rows = df.limit(most + 1).collect()
@@ -52,10 +60,16 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, most:
     return left.join(F.broadcast(right) if within else right, on, how)
 
 
+#: Bytes of a plan's estimated output for each core below which its rows are spread anew.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it comes in fewer partitions, as a small file does.
+    """``df`` over all cores where it is too small to fill them, as a small file is.
 
-    For steps that cost far more than moving a row. Tables of many files are left as they lie.
+    For steps that cost far more than moving a row. The size is the optimizer's estimate, so nothing
+    runs here; larger inputs are left as they lie. The result is the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df

@@ -1,7 +1,8 @@
 """Detecting utterances in a stream of levels: an adaptive threshold with onset, hang-over and pre-roll.
 
 ``Gate`` is the state machine, one frame at a time. ``utterances`` runs it over stored levels and
-``utterance_stream`` over a stream, with the same rows for the same frames.
+``utterance_stream`` over a stream, with the same rows for the same frames. ``unfinished`` ends what a
+stream that will not go on was still saying, and ``Settling`` is the sink that keeps what a reader sees.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -100,26 +101,27 @@ def utterances(levels: DataFrame, minimum: float = THRESHOLD_LEAST, close: bool
     """The change log of stored levels ``stream_id, frame_no, level``: drafts, then final or dropped.
 
     Frames of a stream are read in order while they stream by; only the state is held. Null levels
-    count as silence; repeated frames count once each.
+    count as silence; of repeated frames the loudest counts, as in a micro-batch of a stream.
     """
     kind = levels.schema["stream_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, gate, at = None, None, 0
+        stream, gate, at = None, None, -1
         for pdf in batches:
             rows = []
             for s, n, level in zip(pdf["stream_id"], pdf["frame_no"], pdf["level"].fillna(0.0), strict=True):
                 if gate is None or s != stream:
                     if gate is not None and close:
                         rows += [(stream, *r) for r in gate.close(at)]
-                    stream, gate = s, Gate(minimum=minimum)
-                at = int(n)
-                rows += [(s, *r) for r in gate.step(at, float(level))]
+                    stream, gate, at = s, Gate(minimum=minimum), -1
+                if n > at:
+                    at = int(n)
+                    rows += [(s, *r) for r in gate.step(at, float(level))]
             yield _frame(rows, ["stream_id", *_NAMES])
         if gate is not None and close:
             yield _frame([(stream, *r) for r in gate.close(at)], ["stream_id", *_NAMES])
 
-    ordered = levels.select("stream_id", "frame_no", "level").filter("stream_id is not null").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no")
+    ordered = levels.select("stream_id", "frame_no", "level").filter("stream_id is not null").repartition("stream_id").sortWithinPartitions("stream_id", "frame_no", F.desc("level"))
     return ordered.mapInPandas(run, f"stream_id {kind}, {CHANGES}")
 
 
@@ -129,8 +131,9 @@ _STATE = "floor double, minimum double, speaking boolean, held int, frames int,
 def utterance_stream(levels: DataFrame, minimum: float = THRESHOLD_LEAST, idle_ms: int | None = None) -> DataFrame:
     """The same log from a streaming ``levels``; frames at or before the last one seen are late and dropped.
 
-    Frames of one micro-batch are put in order. With ``idle_ms`` a stream that stays silent for so
-    long (processing time) is closed, which ends what it was saying.
+    Frames of one micro-batch are put in order. With ``idle_ms`` a stream from which nothing comes for
+    so long (processing time) is closed, which ends what it was saying. Its count of utterances, its
+    last frame and what it learnt of the room stay, so that one which comes back goes on from there.
     """
     kind = levels.schema["stream_id"].dataType.simpleString()
 
@@ -142,9 +145,9 @@ def utterance_stream(levels: DataFrame, minimum: float = THRESHOLD_LEAST, idle_m
         rows: list[tuple] = []
         if state.hasTimedOut:
             rows = gate.close(last)
-            state.remove()
+            state.update((*asdict(gate).values(), last))
         else:
-            pdf = pd.concat(list(pdfs)).sort_values("frame_no", kind="stable")
+            pdf = pd.concat(list(pdfs)).sort_values(["frame_no", "level"], ascending=[True, False], kind="stable")
             for n, level in zip(pdf["frame_no"], pdf["level"].fillna(0.0), strict=True):
                 if n > last:
                     last = int(n)
@@ -158,10 +161,18 @@ def utterance_stream(levels: DataFrame, minimum: float = THRESHOLD_LEAST, idle_m
     return levels.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, {CHANGES}", _STATE, "append", timeout)
 
 
-def current(changes: DataFrame) -> DataFrame:
-    """What a reader sees of a change log: the latest version of each utterance, dropped ones taken back."""
-    latest = changes.groupBy("stream_id", "utterance").agg(F.max_by(F.struct("kind", "first_frame", "last_frame", "spoken_ms"), "version").alias("x"), F.max("version").alias("version"))
-    return latest.filter("x.kind <> 'dropped'").select("stream_id", "utterance", "version", "x.*")
+def unfinished(spark: SparkSession, log: str) -> DataFrame:
+    """What each stream was still saying when its query ended, closed: ``utterance_stream``'s rows for the end.
+
+    ``log`` is the query's checkpoint location. The states are read where the query left them, so
+    this is for streams that will not go on.
+    """
+    stored = spark.read.format("statestore").load(log)
+    kind = stored.schema["key"].dataType[0]
+    names = [part.split()[0] for part in _STATE.split(", ")]
+    values = stored.select(F.col(f"key.{kind.name}").alias("stream_id"), F.col("value.groupState.*")).toDF("stream_id", *names)
+    ending = F.when(F.col("spoken_ms") >= SPEECH, "final").otherwise("dropped")
+    return values.filter("speaking").select("stream_id", "utterance", (F.col("version") + 1).alias("version"), ending.alias("kind"), F.col("first").alias("first_frame"), F.col("last").alias("last_frame"), F.col("spoken_ms").cast("long").alias("spoken_ms"))
 
 
 def accept(seen: Column, arriving: Column) -> Column:
@@ -169,6 +180,56 @@ def accept(seen: Column, arriving: Column) -> Column:
     return seen.isNull() | (arriving > seen)
 
 
+_SHOWN = ("kind", "first_frame", "last_frame", "spoken_ms")
+
+
+def settle(seen: DataFrame, arriving: DataFrame) -> DataFrame:
+    """``seen`` after ``arriving`` rows of a change log: the newest version of each utterance, stale ones refused.
+
+    Dropped utterances stay as rows of kind ``dropped``, so that a late draft cannot bring them back.
+    """
+    newest = arriving.groupBy("stream_id", "utterance").agg(F.max_by(F.struct(*_SHOWN), "version").alias("x"), F.max("version").alias("v"))
+    old = seen.select(F.col("stream_id").alias("s"), F.col("utterance").alias("u"), F.col("version").alias("w"), F.struct(*_SHOWN).alias("y"))
+    both = newest.join(old, F.col("stream_id").eqNullSafe(F.col("s")) & (F.col("utterance") == F.col("u")), "full")
+    fresh = F.col("v").isNotNull() & accept(F.col("w"), F.col("v"))
+    pick = lambda a, b: F.when(fresh, a).otherwise(b)
+    return both.select(F.coalesce("stream_id", "s").alias("stream_id"), F.coalesce("utterance", "u").alias("utterance"), pick(F.col("v"), F.col("w")).alias("version"), pick(F.col("x"), F.col("y")).alias("x")).select("stream_id", "utterance", "version", "x.*")
+
+
+class Settling:
+    """Sink of a change log for ``foreachBatch``: drafts show at once, a later version replaces or takes them back.
+
+    Each micro-batch writes the table anew beside the last one, under its own number, so a batch that
+    is run again gives the same table and readers never see half of one. The last two are kept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _done(self) -> list[int]:
+        """Numbers of the tables that were written whole."""
+        there = self.files.globStatus(self.path(f"{self.folder}/*/_SUCCESS")) or []
+        return sorted(int(f.getPath().getParent().getName()) for f in there)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        before = [n for n in self._done() if n < number]
+        seen = self.spark.read.parquet(f"{self.folder}/{before[-1]}") if before else batch.limit(0)
+        settle(seen, batch).write.mode("overwrite").parquet(f"{self.folder}/{number}")
+        for n in before[:-1]:
+            self.files.delete(self.path(f"{self.folder}/{n}"), True)
+
+    def shown(self) -> DataFrame:
+        """What a reader sees now: the newest version of each utterance, dropped ones taken back."""
+        return self.spark.read.parquet(f"{self.folder}/{self._done()[-1]}").filter("kind <> 'dropped'")
+
+
+def current(changes: DataFrame) -> DataFrame:
+    """What a reader sees of a whole change log."""
+    return settle(changes.limit(0), changes).filter("kind <> 'dropped'")
+
+
 def frame_levels(blocks: DataFrame) -> DataFrame:
     """``stream_id, frame_no, level`` of blocks ``stream_id, block_no, pcm`` of 16-bit samples.
 
