@@ -193,16 +193,21 @@ def near_misses(values: DataFrame, terms: DataFrame, most: int = 20, floor: floa
 # Cyrillic letters in a Latin skeleton, and sounds that a recording does not keep apart.
 CYRILLIC = {"а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ы": "i", "ь": "", "э": "e", "ю": "u", "я": "a"}
 FOLDED = {"p": "b", "t": "d", "k": "g", "c": "g", "q": "g", "f": "v", "s": "z", "sh": "zh", "ch": "zh", "y": "i", "x": "gz"}
-_SOUND = re.compile("sh|ch|[a-z]")
+_LATIN = str.maketrans(CYRILLIC)
+#: One sign for ``sh`` and ``ch`` while letters are folded one by one.
+_HUSH = "\1"
+_SOUNDS = str.maketrans(dict.fromkeys("aeiou", "a") | {k: v for k, v in FOLDED.items() if len(k) == 1} | {_HUSH: FOLDED["sh"]})
+_OTHER = re.compile("[^a-z]+")
 _TWICE = re.compile(r"(.)\1+")
 
 
 def skeleton(word: str) -> str:
     """The sound of a word: Latin, voiced and voiceless as one, all vowels as one, doubles once."""
-    plain = unicodedata.normalize("NFKD", word.casefold())
-    latin = "".join(CYRILLIC.get(c, c) for c in plain if not unicodedata.combining(c))
-    latin = re.sub("[^a-z]+", "", latin)
-    return _TWICE.sub(r"\1", _SOUND.sub(lambda m: "a" if m[0] in "aeiou" else FOLDED.get(m[0], m[0]), latin))
+    low = word.casefold()
+    if not low.isascii():
+        low = unicodedata.normalize("NFKD", low).translate(_LATIN)
+    latin = _OTHER.sub("", low).replace("sh", _HUSH).replace("ch", _HUSH)
+    return _TWICE.sub(r"\1", latin.translate(_SOUNDS))
 
 
 def skeletons(value: Column) -> Column:

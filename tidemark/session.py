@@ -64,12 +64,12 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, most:
 SPREAD_BYTES = 16 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where it is too small to fill them, as a small file is.
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over all cores where it is too small to fill them, as a small file is; equal ``by`` meet in one task.
 
     For steps that cost far more than moving a row. The size is the optimizer's estimate, so nothing
     runs here; larger inputs are left as they lie. The result is the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * SPREAD_BYTES else df
+    return df.repartition(cores, *by) if int(str(size)) < cores * SPREAD_BYTES else df
