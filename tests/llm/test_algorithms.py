@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import canonical, nearest, packing, spelling
-from tidemark.llm.canonical import BKTree, distance
+from tidemark.llm.canonical import BKTree, Forest, distance
 
 
 def slow_distance(a, b):
@@ -29,6 +29,16 @@ def test_distance_is_levenshtein():
     assert distance("x" * 5000, "x" * 4990) == 10
 
 
+def test_forest_finds_what_one_tree_does():
+    r = random.Random(4)
+    words = ["".join(r.choice("abcd") for _ in range(r.randint(0, 9))) for _ in range(400)]
+    forest = Forest((w, (i,)) for i, w in enumerate(words))
+    for _ in range(60):
+        probe, radius = "".join(r.choice("abcd") for _ in range(r.randint(0, 9))), r.randint(0, 3)
+        got = {k: d for d, k, _ in forest.within(probe, radius)}
+        assert got == {w: distance(w, probe) for w in words if distance(w, probe) <= radius}
+
+
 def test_tree_returns_every_key_within():
     words = sorted(set(some_words(300, 3)) - {""})
     tree = BKTree((w, (i, w)) for i, w in enumerate(words))

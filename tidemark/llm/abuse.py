@@ -88,11 +88,22 @@ def token_ids(token: str) -> tuple[int, int]:
     return _hash(_RUN.sub(r"\1", plain), WORDS), _hash(shape, SHAPES)
 
 
+class _Known(dict):
+    """Both hashes of every token met, as one number."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        word, shape = token_ids(token)
+        got = self[token] = word * SHAPES + shape
+        return got
+
+
 class Tokens:
     """Texts to arrays of word and shape hashes; remembers tokens."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known = _Known()
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -101,15 +112,8 @@ class Tokens:
         if not text.isascii():
             text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
         text = _SPACED.sub(lambda m: m.group().replace(" ", "").replace(".", ""), text)
-        known, out = self.known, []
-        for t in _TOKEN.findall(text):
-            got = known.get(t)
-            if got is None:
-                if len(known) > 400_000:
-                    known.clear()
-                got = known[t] = token_ids(t)
-            out.append(got)
-        return np.array(out, np.int32).reshape(-1, 2)
+        both = np.fromiter(map(self.known.__getitem__, _TOKEN.findall(text)), np.int64)
+        return np.stack(np.divmod(both, SHAPES), axis=1).astype(np.int32)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 Entries stand in BK-trees under the Levenshtein distance, one tree over what is written and one over
 what it sounds like. The triangle inequality prunes: of a node at distance d from the query only the
 children at distances d - r to d + r can hold entries within r, so a search returns every one of them.
+Keys whose lengths differ by more than r are further apart than r, so there is a tree for each length.
 """
 
 from __future__ import annotations
@@ -92,6 +93,22 @@ class BKTree:
             open_.extend(child for edge, child in self.children[at].items() if d - radius <= edge <= d + radius)
 
 
+class Forest:
+    """A BK-tree for each length of key."""
+
+    def __init__(self, items: Iterable[tuple[str, tuple]]) -> None:
+        by_length: dict[int, list[tuple[str, tuple]]] = {}
+        for key, payload in items:
+            by_length.setdefault(len(key), []).append((key, payload))
+        self.trees = {n: BKTree(own) for n, own in by_length.items()}
+
+    def within(self, key: str, radius: int) -> Iterator[tuple[int, str, list[tuple]]]:
+        """Every key at most ``radius`` away, with its distance and payloads."""
+        for n in range(len(key) - radius, len(key) + radius + 1):
+            if n in self.trees:
+                yield from self.trees[n].within(key, radius)
+
+
 def written_radius(length: int) -> int:
     """Edits forgiven in what is written."""
     return 0 if length < 4 else 1 if length < 6 else 2
@@ -112,10 +129,10 @@ def _digits(key: str) -> str:
 
 @dataclass
 class Index:
-    """The two trees over one shard of the list."""
+    """The trees of writing and of sound over one shard of the list."""
 
-    written: BKTree
-    sound: BKTree
+    written: Forest
+    sound: Forest
     exact: dict[str, int]
 
     @classmethod
@@ -123,7 +140,7 @@ class Index:
         rows = sorted({(spelling.key(text), int(entry)) for entry, text in spellings if text} - {("", 0)})
         rows = [(k, e) for k, e in rows if k]
         exact = {k: e for k, e in reversed(rows)}
-        return cls(BKTree((k, (e, k)) for k, e in rows), BKTree((spelling.sound(k), (e, k)) for k, e in rows), exact)
+        return cls(Forest((k, (e, k)) for k, e in rows), Forest((spelling.sound(k), (e, k)) for k, e in rows), exact)
 
     def best(self, value: str | None) -> tuple[float, int, int, int] | None:
         """(rank, written distance, sound distance, entry) of the closest entry, or None for no entry.
@@ -197,7 +214,7 @@ def map_to_entries(df: DataFrame, value: str, spellings: DataFrame, shard: int =
 
         # else a filter on the match would be pushed below it and search twice
         found = match.asNondeterministic()(F.col(value).cast("string"))
-        return spread(df).withColumn("match", found).withColumn("match", F.when(F.col("match.entry").isNotNull(), F.col("match")))
+        return spread(df, value).withColumn("match", found).withColumn("match", F.when(F.col("match.entry").isNotNull(), F.col("match")))
     return _sharded(df, value, listed, shard, block)
 
 
