@@ -47,7 +47,7 @@ WORDS, SHAPES = 1 << 15, 1 << 11
 DIM, FILTERS, HIDDEN = 16, 12, 16
 WIDTHS = (1, 2, 3, 5)
 #: Words of a block; a window is three blocks. Words that go through the filters together.
-BLOCK, TOGETHER = 8, 40_000
+BLOCK, TOGETHER = 8, 8_000
 EPOCHS, HALF_EPOCHS = 6, 5
 #: Part of the embeddings taken off after each round: what only chance upholds fades.
 DECAY = 0.05
@@ -56,7 +56,7 @@ DECAY = 0.05
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a"})
 _HIDDEN = re.compile("[­​-‏‪-‮⁠﻿]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .]){2,}[^\W\d_](?![^\W_])")
-_TOKEN = re.compile(r"[^\W_](?:[\w@#*$]*[\w*$])?|\$[\w@#*$]*[\w$]")
+_TOKEN = re.compile(r"[^\W_][\w@#*$]*|\$[\w@#*$]+")
 _MASK = re.compile(r"[@#*]")
 _NUMBER = re.compile(r"\d[\d_]*[a-z]?\d*|[a-z]\d+")
 _COUNTED = re.compile(r"_+\d+$")
@@ -69,6 +69,7 @@ def _hash(text: str, size: int) -> int:
 
 def token_ids(token: str) -> tuple[int, int]:
     """Hashes of a token and of its shape; clocks, dates and counted labels are no hidden words."""
+    token = token.rstrip("@#")
     if _NUMBER.fullmatch(token):
         return _hash("0", WORDS), 0
     token = _COUNTED.sub("", token).replace("_", "")
@@ -232,15 +233,12 @@ def _step(model: Model, ids: np.ndarray, target: np.ndarray, memory: dict, rate:
     for j, f in enumerate(model.filters):
         lo = wide - f.shape[1]
         where = at[:, lo:] + j
-        inside = where < length
-        where = np.minimum(where, length - 1)
-        grad = dp[:, lo:] * inside
-        g = np.empty_like(f)
-        for k in range(f.shape[1]):  # a filter has one maximum in a window, so no cell is met twice
-            cells = rows[:, 0], where[:, k]
-            g[:, k] = grad[:, k] @ x[cells]
-            dx[cells] += grad[:, k, None] * f[:, k]
-        g_filters.append(g)
+        # a filter has one maximum in a window, so no cell is met twice
+        cells = np.zeros((n, length, f.shape[1]), np.float32)
+        cells[rows, np.minimum(where, length - 1), np.arange(f.shape[1])] = dp[:, lo:] * (where < length)
+        flat = cells.reshape(n * length, -1)
+        g_filters.append(x.reshape(n * length, -1).T @ flat)
+        dx += (flat @ f.T).reshape(x.shape)
     dx[blank] = 0
     for name, value, grad in zip(range(99), model.params(), [*g_filters, dp.sum(0), g_hidden, g_hidden_bias, g_out, g_out_bias], strict=False):
         m = memory.setdefault(name, np.full(value.shape, 1e-4, np.float32))
