@@ -61,15 +61,16 @@ def _parts(ms: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def clock(ms: Column, millis: bool = False) -> Column:
-    """``H:MM:SS`` or ``H:MM:SS.mmm`` of whole milliseconds; what is before 0 shows as 0."""
+    """``H:MM:SS`` or ``H:MM:SS.mmm`` of whole milliseconds; what is before 0 shows as 0, null stays null."""
     h, m, s, rest = _parts(ms)
-    return F.format_string("%d:%02d:%02d.%03d", h, m, s, rest) if millis else F.format_string("%d:%02d:%02d", h, m, s)
+    shown = F.format_string("%d:%02d:%02d.%03d", h, m, s, rest) if millis else F.format_string("%d:%02d:%02d", h, m, s)
+    return F.when(ms.isNotNull(), shown)
 
 
 def cue_time(ms: Column, mark: str = ",") -> Column:
-    """``HH:MM:SS,mmm`` for subtitles, with ``.`` as the mark for the web's form."""
+    """``HH:MM:SS,mmm`` for subtitles, with ``.`` as the mark for the web's form; null stays null."""
     h, m, s, rest = _parts(ms)
-    return F.format_string(f"%02d:%02d:%02d{mark}%03d", h, m, s, rest)
+    return F.when(ms.isNotNull(), F.format_string(f"%02d:%02d:%02d{mark}%03d", h, m, s, rest))
 
 
 def inert(cell: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import confidence
+from tidemark.operators import cleaning, confidence, glossary, overlap, plugins, settings
 from tidemark.operators.voice import budget, fold
+from tidemark.sources import logs
 
 #: Segments and characters of a correction window; characters of a summary window and of a text summarised at once.
 WINDOW_SEGMENTS, WINDOW_CHARS, SUMMARY_CHARS, DIRECT_CHARS = 40, 6000, 16_000, 24_000
@@ -35,6 +39,41 @@ def absorb_alternatives(current: Column, known: Column, offered: Column) -> Colu
     return F.transform(F.filter(F.transform(clean, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.array_position(F.transform(clean, F.lower), F.lower(x["t"])) == x["i"] + 1), lambda x: x["t"])
 
 
+def reconcile(segments: DataFrame, terms: DataFrame, kinds: tuple[str, ...] = ("context", "temperature", "model")) -> DataFrame:
+    """``run_id, seg_idx, text, variants``: recorded spellings put right in readings of ``kinds``, those that then agree dropped.
+
+    ``primary`` is never touched: it holds what was heard. A segment without readings keeps none.
+    """
+    each = segments.select("run_id", "seg_idx", "text", F.posexplode_outer("variants").alias("_n", "_v")).withColumn("_said", F.col("_v.text"))
+    right = glossary.substitute(each, "_said", terms, "_right")
+    fixed = right.withColumn("_v", F.when(F.col("_v.kind").isin(*kinds) & (F.col("_v.kind") != "primary"), F.col("_v").withField("text", F.col("_right"))).otherwise(F.col("_v")))
+    grouped = fixed.groupBy("run_id", "seg_idx").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.when(F.col("_n").isNotNull(), F.struct("_n", "_v")))).alias("_a"))
+    listed = grouped.withColumn("variants", F.transform("_a", lambda x: x["_v"]))
+    return listed.select("run_id", "seg_idx", "text", still_differing(F.col("variants"), F.col("text"), kinds).alias("variants"))
+
+
+def compare_context(segments: DataFrame, chunks: DataFrame, decoder: plugins.Decoder, mode: str, carried: int = 0, batched: DataFrame | None = None, request: plugins.Request = plugins.Request("base")) -> DataFrame:
+    """``run_id, seg_idx, text, kind, source, confidence``: what a pass with the opposite context reads differently.
+
+    ``chunks`` have ``run_id, batch, from_ms`` and what ``decoder`` needs; ``segments`` have ``s, e,
+    text, confidence``. ``always`` decodes every chunk, ``auto`` those whose segments in ``batched``
+    look damaged, ``off`` none. Loops in the second pass are collapsed before it is compared.
+    """
+    if mode not in settings.COMPARE_MODES:
+        raise ValueError(f"unknown compare mode: {mode}")
+    tokens = settings.CONTEXT_TOKENS["full" if carried == 0 else "off"]
+    wanted = chunks if mode == "always" else chunks.limit(0)
+    if mode == "auto" and batched is not None:
+        wanted = chunks.join(overlap.suspects(batched).select("run_id", "batch"), ["run_id", "batch"], "left_semi")
+    decoded = plugins.decode(wanted, decoder, replace(request, max_context=tokens))
+    at = lambda c: F.round(F.col("from_ms") + F.col(c) * 1000).cast("long")
+    placed = decoded.join(wanted.select("run_id", "batch", "from_ms"), ["run_id", "batch"])
+    second = placed.select("run_id", (F.col("batch") * 1_000_000 + F.col("seg_no")).alias("seg_idx"), at("start").alias("s"), at("end").alias("e"), cleaning.collapsed(F.col("text")).alias("text"), "confidence")
+    found = overlap.second_readings(segments.select("run_id", "seg_idx", "s", "e", "text", "confidence"), second)
+    both = found.join(segments.select("run_id", "seg_idx", "text"), ["run_id", "seg_idx"]).filter(~text.same_words(F.col("reading"), F.col("text")))
+    return both.select("run_id", "seg_idx", F.col("reading").alias("text"), F.lit("context").alias("kind"), F.lit(f"asr:context={tokens}").alias("source"), "confidence")
+
+
 def windows(segments: DataFrame) -> DataFrame:
     """Adds ``window``: consecutive segments of a run within the budget of segments and characters."""
     sized = segments.withColumn("_size", F.length(F.coalesce("text", F.lit(""))))
@@ -42,9 +81,10 @@ def windows(segments: DataFrame) -> DataFrame:
 
 
 def spoken_line(speaker: Column | None) -> Column:
-    """``[clock] speaker: text`` as a language model reads it."""
+    """``[clock] speaker: text`` as a language model reads it; without a time there is no clock."""
     who = F.when(F.coalesce(speaker, F.lit("")) != "", F.concat(speaker, F.lit(": "))).otherwise("") if speaker is not None else F.lit("")
-    return F.concat(F.lit("["), text.clock(F.col("s")), F.lit("] "), who, F.col("text"))
+    stamp = F.coalesce(F.concat(F.lit("["), text.clock(F.col("s")), F.lit("] ")), F.lit(""))
+    return F.concat(stamp, who, F.col("text"))
 
 
 def summary_windows(segments: DataFrame) -> DataFrame:
@@ -94,3 +134,30 @@ def merge_parts(parts: DataFrame, lists: tuple[str, ...] = ("decisions", "action
     ordered = F.array_sort(F.collect_list(F.struct("part", *lists)))
     grouped = parts.groupBy("run_id").agg(ordered.alias("_p"))
     return grouped.select("run_id", *[F.array_distinct(F.flatten(F.transform("_p", lambda x: x[n]))).alias(n) for n in lists])
+
+
+def _joined(parts: Column) -> Column:
+    """Partial summaries as one, where no model merges them: the first headline, all sections, each item once."""
+    listed = lambda n: F.array_distinct(F.flatten(F.transform(parts, lambda p: p[n]))).alias(n)
+    lists = [listed(n) for n in ("decisions", "actions", "questions")]
+    return F.struct(parts[0]["headline"].alias("headline"), F.flatten(F.transform(parts, lambda p: p["sections"])).alias("sections"), *lists)
+
+
+def summarise(segments: DataFrame, model: Callable[[str], str | None], instructions: str = "", most: int = DIRECT_CHARS) -> DataFrame:
+    """``run_id, summary, parts``: each run summarised at once up to ``most`` characters, else in windows that are merged.
+
+    ``segments`` have ``run_id, seg_idx, s, text`` and perhaps ``speaker``. A window whose reply holds
+    no object is passed over; where the reply that merges the windows fails, their parts are joined. A
+    run of which no window was summarised has no summary; one without text does not come out.
+    """
+    lines = summary_windows(segments)
+    whole = lines.groupBy("run_id").agg((F.sum(F.length("line") + 1) - 1).alias("_chars"))
+    placed = lines.join(whole, "run_id").withColumn("window", F.when(F.col("_chars") <= most, F.lit(1)).otherwise(F.col("window")))
+    texts = placed.groupBy("run_id", "window").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "line"))), lambda x: x["line"]), "\n").alias("_text"))
+    asked = plugins.ask(texts, F.concat(F.lit(instructions + "\nTranscript:\n"), "_text"), model, "_reply")
+    parts = asked.withColumn("_object", logs.reply_object(F.col("_reply"))).select("run_id", F.when(F.col("_object").isNotNull(), F.struct("window", summary(F.col("_object")).alias("s"))).alias("_p"))
+    grouped = parts.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["s"]).alias("_parts"))
+    merged = F.when(F.size("_parts") > 1, F.concat(F.lit(instructions + "\nPartial summaries, in order, to merge into one:\n"), F.to_json("_parts")))
+    final = plugins.ask(grouped, merged, model, "_final").withColumn("_object", logs.reply_object(F.col("_final")))
+    made = F.when(F.size("_parts") == 1, F.col("_parts")[0]).when(F.size("_parts") > 1, F.when(F.col("_object").isNotNull(), summary(F.col("_object"))).otherwise(_joined(F.col("_parts"))))
+    return final.select("run_id", made.alias("summary"), F.size("_parts").alias("parts"))

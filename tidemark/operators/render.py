@@ -7,7 +7,9 @@ confidence). Lines come as ``run_id, line_no, line``; ``line_no`` orders them wi
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,24 +116,25 @@ def srt(segments: DataFrame, options: Options = Options(), web: bool = False) ->
 
 
 def table(segments: DataFrame, options: Options = Options()) -> DataFrame:
-    """Rows for a CSV or TSV writer, with what a spreadsheet would run made harmless."""
+    """Rows for a CSV or TSV writer, with what a spreadsheet would run made harmless; a missing time is empty."""
     nothing = F.lit("")
+    seconds = lambda c: F.when(F.col(c).isNull(), nothing).otherwise(F.format_string("%.3f", F.col(c) / 1000))
     suspects = F.array_join(F.transform("suspects", lambda p: F.concat(p["heard"], F.lit("~"), p["term"])), "|") if _has(segments, "suspects") else nothing
     return segments.select(
-        "run_id", "seg_idx", F.format_string("%.3f", F.col("s") / 1000).alias("start"), F.format_string("%.3f", F.col("e") / 1000).alias("end"),
-        text.clock(F.col("s")).alias("at"), (F.coalesce("speaker", nothing) if options.speakers and _has(segments, "speaker") else nothing).alias("speaker"),
+        "run_id", "seg_idx", seconds("s").alias("start"), seconds("e").alias("end"),
+        F.coalesce(text.clock(F.col("s")), nothing).alias("at"), (F.coalesce("speaker", nothing) if options.speakers and _has(segments, "speaker") else nothing).alias("speaker"),
         F.when(F.col("confidence").isNull(), "").otherwise(F.format_string("%.4f", F.col("confidence"))).alias("confidence"),
         (F.array_join("flags", "|") if _has(segments, "flags") else nothing).alias("flags"), text.inert(suspects).alias("suspected"), text.inert(chosen(segments, options)).alias("text"),
     )
 
 
 def dialogue(segments: DataFrame, options: Options = Options()) -> DataFrame:
-    """One line per turn: neighbours of one voice joined, with the time of the first."""
+    """One line per turn: neighbours of one voice joined, with the time of the first, if it has one."""
     rows = segments.withColumn("who", F.coalesce(F.when(F.col("speaker") != "", F.col("speaker")), F.lit("SPEAKER"))).withColumn("said", F.trim(chosen(segments, options))).withColumn("_bucket", F.floor(F.col("seg_idx") / BUCKET))
     numbered = islands(rows, ["run_id"], "_bucket", [F.col("seg_idx")], F.col("who"), "line_no")
     ordered = F.array_sort(F.collect_list(F.struct("seg_idx", "said")))
     turns = numbered.groupBy("run_id", "line_no").agg(F.min("who").alias("who"), F.min_by("s", "seg_idx").alias("s"), F.trim(F.array_join(F.filter(F.transform(ordered, lambda x: x["said"]), lambda t: t != ""), " ")).alias("said"))
-    stamp = F.concat(F.lit("["), text.clock(F.col("s")), F.lit("] ")) if options.stamps else F.lit("")
+    stamp = F.coalesce(F.concat(F.lit("["), text.clock(F.col("s")), F.lit("] ")), F.lit("")) if options.stamps else F.lit("")
     return turns.select("run_id", "line_no", F.concat(stamp, "who", F.lit(": "), "said").alias("line"))
 
 
@@ -149,6 +152,66 @@ def markdown_head(runs: DataFrame, media: DataFrame) -> DataFrame:
     return rows.select("run_id", F.posexplode(F.array_compact(lines)).alias("line_no", "line"))
 
 
+#: Where the parts of a Markdown document begin among its line numbers.
+_SUMMARY_AT, _BODY_AT = 1_000, 10_000_000
+
+
+def markdown(runs: DataFrame, media: DataFrame, segments: DataFrame, options: Options = Options(), warnings: DataFrame | None = None, summaries: DataFrame | None = None) -> DataFrame:
+    """A run's whole document, a line per row: head with warnings, a summary if there is one, every segment.
+
+    ``warnings`` have ``run_id, n, warning``, ``summaries`` have ``run_id, summary``. Null warnings do
+    not count. A run without segments has its head and an empty transcript.
+    """
+    head = markdown_head(runs, media).select("run_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    parts = [head]
+    if warnings is not None:
+        told = warnings.join(runs.select("run_id").distinct(), "run_id", "left_semi").filter("warning is not null")
+        parts.append(told.select("run_id", (F.col("n") + 100).cast("long").alias("line_no"), F.concat(F.lit("- **Note**: "), "warning").alias("line")))
+    if summaries is not None:
+        lines = summaries.filter("summary is not null").select("run_id", F.posexplode(F.concat(F.array(F.lit("")), summary_lines(F.col("summary")))).alias("i", "line"))
+        parts.append(lines.select("run_id", (F.col("i") + _SUMMARY_AT).cast("long").alias("line_no"), "line"))
+    title = F.posexplode(F.array(*map(F.lit, ("", "## Transcript", "")))).alias("i", "line")
+    parts.append(runs.select("run_id", title).select("run_id", (F.col("i") + _BODY_AT).cast("long").alias("line_no"), "line"))
+    body = txt(segments, options).withColumn("line_no", F.col("line_no") + _BODY_AT)
+    gaps = body.withColumn("line_no", F.floor(F.col("line_no") / 1000) * 1000 + 999).select("run_id", "line_no").distinct().withColumn("line", F.lit(""))
+    parts += [body.select("run_id", "line_no", "line"), gaps]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def routed(lines: Mapping[str, DataFrame]) -> DataFrame:
+    """``format, run_id, line_no, line`` of the lines of several formats; an unknown format raises."""
+    wrong = set(lines) - set(FORMATS)
+    if wrong or not lines:
+        raise ValueError(f"unknown formats: {sorted(wrong)}" if wrong else "no format")
+    out = [df.select(F.lit(name).alias("format"), "run_id", F.col("line_no").cast("long").alias("line_no"), "line") for name, df in lines.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
+def write(rows: DataFrame, folder: str) -> None:
+    """Lines in a folder per format and run, as text in order. A run's lines pass through one task, which streams them."""
+    ordered = rows.repartition("format", "run_id").sortWithinPartitions("format", "run_id", "line_no")
+    ordered.select("format", "run_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("format", "run_id").text(folder)
+
+
+def run_report(runs: DataFrame, segments: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """``run_id`` and what was made of it: source, duration, language, engine, segments, words, summary, ``warnings`` (array)."""
+    counts = segments.groupBy("run_id").agg(F.count("*").alias("_n"), F.sum(F.size(text.tokens(F.coalesce("text", F.lit(""))))).alias("_w"))
+    rows = runs.drop("segments", "words").join(counts, "run_id", "left")
+    none = F.array().cast("array<string>")
+    if warnings is not None:
+        listed = warnings.filter("warning is not null").groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "warning"))), lambda x: x["warning"]).alias("_told"))
+        rows = rows.join(listed, "run_id", "left").withColumn("_told", F.coalesce("_told", none))
+    else:
+        rows = rows.withColumn("_told", none)
+    return rows.select(
+        "run_id", F.col("source_path").alias("source"), "duration", F.col("lang").alias("language"), F.concat_ws(":", "backend", "model").alias("engine"),
+        F.coalesce("_n", F.lit(0)).alias("segments"), F.coalesce("_w", F.lit(0)).alias("words"), (F.col("has_summary") == 1).alias("has_summary"), F.col("_told").alias("warnings"),
+    )
+
+
 def document(runs: DataFrame, segments: DataFrame) -> DataFrame:
     """``run_id, json``: each run with its segments as one JSON value, empty lists and nulls left out."""
     flat = [c for c in segments.columns if c not in ("run_id", "seg_idx")]

@@ -7,19 +7,20 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import join_small
 
-#: Settings that change the words of a result, always part of its key.
+# Settings that change the words of a result, always part of its key; those that came later,
+# part of the key only where they differ from the default; the revision of the key.
 KEYS = (
     "backend", "model", "language", "vad", "vad_threshold", "vad_min_silence_ms", "vad_speech_pad_ms", "vad_min_speech_ms",
     "clean", "strict_clean", "max_repeats", "confidence_floor", "variants", "variant_models", "fix", "fix_with",
 )
-#: Settings that came later: part of the key only where they differ from the default.
 DEFAULTS: Mapping[str, object] = {"context": "off", "context_compare": "off", "dict_digest": "", "dict_bias": True, "dict_similarity": 0.80, "engine_limits": ""}
 REVISION = 2
 #: What an update may change; the rest of a stored run stays.
@@ -35,6 +36,25 @@ def fingerprint(settings: Mapping[str, object]) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def fingerprints(settings: DataFrame, columns: Sequence[str]) -> Column:
+    """``fingerprint`` of each row's settings, given by the columns of these names; null means not set."""
+    chosen = F.struct(*[F.col(c) for c in columns])
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        memo: dict[tuple, str] = {}
+        for pdf in batches:
+            out = []
+            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+                key = tuple(row)
+                if key not in memo:
+                    memo[key] = fingerprint({k: v for k, v in zip(columns, key, strict=True) if v is not None})
+                out.append(memo[key])
+            yield pd.Series(out, dtype=object)
+
+    return run(chosen)
+
+
 def run_id(media_sha: Column, key: Column) -> Column:
     """The name of a run: ten digits of the content and the whole key."""
     return F.concat(F.substring(media_sha, 1, 10), F.lit("-"), key)

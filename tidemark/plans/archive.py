@@ -52,12 +52,6 @@ def f13_run_id(spark: SparkSession, sf: str) -> DataFrame:
     return base.runs(spark, sf).select("run_id", made.alias("made"), (F.col("run_id") == made).alias("same"))
 
 
-@query(oracle(RUNS, select="SELECT run_id, substr(sha256(backend || '|' || model || '|' || coalesce(lang, '')), 1, 16) AS key FROM r"))
-def f12_settings_key(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.substring(F.sha2(F.concat_ws("|", "backend", "model", F.coalesce("lang", F.lit(""))), 256), 1, 16)
-    return base.runs(spark, sf).select("run_id", key.alias("key"))
-
-
 def _wanted(spark: SparkSession, sf: str) -> DataFrame:
     """Every run's media with its own key, and once more with a key that nobody has."""
     runs = base.runs(spark, sf).select("media_sha", "fingerprint")
@@ -87,12 +81,6 @@ def j10_unused_media(spark: SparkSession, sf: str) -> DataFrame:
     return store.unused_media(table(spark, sf, "media"), base.runs(spark, sf).filter("has_speakers = 1"))
 
 
-@query(oracle(RUNS, select="SELECT run_id, has_summary = 0 AS lacks_summary, has_speakers = 0 AS lacks_speakers FROM r WHERE has_summary = 0 OR has_speakers = 0"))
-def j13_missing_enrichments(spark: SparkSession, sf: str) -> DataFrame:
-    rows = base.runs(spark, sf).select("run_id", (F.col("has_summary") == 0).alias("lacks_summary"), (F.col("has_speakers") == 0).alias("lacks_speakers"))
-    return rows.filter("lacks_summary or lacks_speakers")
-
-
 _MODELS = (("base", {"whispercpp": "ggml-base", "mlx": "base-mlx"}), ("large-v3", {"whispercpp": "ggml-large-v3", "mlx": "large-v3-mlx"}), ("large-v3-turbo", {"whispercpp": "ggml-large-v3-turbo"}))
 
 
@@ -185,11 +173,6 @@ def c24_first_available(spark: SparkSession, sf: str) -> DataFrame:
     return store.first_available(counts.withColumn("ok", F.col("rank") > 1))
 
 
-@query("SELECT run_id, min(coalesce(recorded_at, created_at, 'none')) AS chosen FROM runs GROUP BY run_id")
-def p09_precedence(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "runs").groupBy("run_id").agg(F.min(F.coalesce("recorded_at", "created_at", F.lit("none"))).alias("chosen"))
-
-
 @query("""SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k, coalesce(CAST(trunc(TRY_CAST(substr(CAST(round(value, 2) AS VARCHAR), 1, 3) AS DOUBLE)) AS BIGINT), 0) AS part,
 CASE lower(event_type) WHEN 'click' THEN true WHEN 'error' THEN false END AS flag FROM events""")
 def s09_p10_coercers(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,9 +181,3 @@ def s09_p10_coercers(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", text.as_int(F.get_json_object("props", "$.k"), -1).alias("k"),
         text.as_int(F.substring(F.round("value", 2).cast("string"), 1, 3)).alias("part"), F.when(word == "click", True).when(word == "error", False).alias("flag"),
     )
-
-
-@query("SELECT array_to_string(list_filter(list_sort(list_distinct(list(event_type))), lambda e: e NOT IN ('click', 'view')), ',') AS unknown FROM events")
-def t06_unknown_keys(spark: SparkSession, sf: str) -> DataFrame:
-    keys = table(spark, sf, "events").agg(F.array_sort(F.collect_set("event_type")).alias("k"))
-    return keys.select(F.array_join(F.array_except("k", F.array(F.lit("click"), F.lit("view"))), ",").alias("unknown"))

@@ -29,8 +29,13 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _spoken(spark: SparkSession, sf: str) -> DataFrame:
-    """Segments with their speaker; segments whose words all lack a time are left to other queries."""
-    return overlap.attach(base.segments(spark, sf).filter("s is not null and e is not null"), base.turns(spark, sf))
+    """Segments with their speaker; those whose words all lack a time have none and are kept."""
+    return overlap.attach(base.segments(spark, sf), base.turns(spark, sf))
+
+
+def _cues(spark: SparkSession, sf: str) -> DataFrame:
+    """Those that can be a cue, which needs a start and an end."""
+    return _spoken(spark, sf).filter("s is not null and e is not null")
 
 
 def _clock(ms: str) -> str:
@@ -43,10 +48,11 @@ def _cue(ms: str, mark: str) -> str:
     return f"printf('%02d:%02d:%02d{mark}%03d', {t} // 3600000, ({t} // 60000) % 60, ({t} // 1000) % 60, {t} % 1000)"
 
 
+_NUMBERED = "tm AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_idx) AS n FROM att)"
 _TIMED = "tm AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seg_idx) AS n FROM att WHERE s IS NOT NULL AND e IS NOT NULL)"
 
 
-@query(oracle(SEGMENTS, TURNS, _ATTACHED, _TIMED, select=f"SELECT run_id, n * 1000 AS line_no, concat_ws(' ', '[' || {_clock('s')} || ']', CASE WHEN speaker <> '' THEN speaker || ':' END, printf('(%.2f)', round(confidence, 2)), text) AS line FROM tm"))
+@query(oracle(SEGMENTS, TURNS, _ATTACHED, _NUMBERED, select=f"SELECT run_id, n * 1000 AS line_no, concat_ws(' ', CASE WHEN s IS NOT NULL THEN '[' || {_clock('s')} || ']' END, CASE WHEN speaker <> '' THEN speaker || ':' END, printf('(%.2f)', round(confidence, 2)), text) AS line FROM tm"))
 def k01_txt(spark: SparkSession, sf: str) -> DataFrame:
     return render.txt(_spoken(spark, sf), render.Options(confidence=True))
 
@@ -69,16 +75,16 @@ def k03_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(oracle(SEGMENTS, TURNS, _ATTACHED, _TIMED, select=f"SELECT run_id, n AS line_no, n || chr(10) || {_cue('s', ',')} || ' --> ' || {_cue('e', ',')} || chr(10) || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || text AS line FROM tm"))
 def k04_srt(spark: SparkSession, sf: str) -> DataFrame:
-    return render.srt(_spoken(spark, sf))
+    return render.srt(_cues(spark, sf))
 
 
 @query(oracle(SEGMENTS, TURNS, _ATTACHED, _TIMED, select=f"SELECT run_id, n AS line_no, {_cue('s', '.')} || ' --> ' || {_cue('e', '.')} || chr(10) || CASE WHEN coalesce(speaker, '') <> '' THEN '<v ' || speaker || '>' ELSE '' END || text AS line FROM tm"))
 def k05_vtt(spark: SparkSession, sf: str) -> DataFrame:
-    return render.srt(_spoken(spark, sf), web=True)
+    return render.srt(_cues(spark, sf), web=True)
 
 
-@query(oracle(SEGMENTS, TURNS, _ATTACHED, select=f"""SELECT run_id, seg_idx, printf('%.3f', s / 1000.0) AS start, printf('%.3f', e / 1000.0) AS "end", {_clock('s')} AS at, coalesce(speaker, '') AS speaker, coalesce(printf('%.4f', confidence), '') AS confidence, '' AS flags, '' AS suspected,
-CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS text FROM att WHERE s IS NOT NULL AND e IS NOT NULL"""))
+@query(oracle(SEGMENTS, TURNS, _ATTACHED, select=f"""SELECT run_id, seg_idx, coalesce(printf('%.3f', s / 1000.0), '') AS start, coalesce(printf('%.3f', e / 1000.0), '') AS "end", CASE WHEN s IS NULL THEN '' ELSE {_clock('s')} END AS at, coalesce(speaker, '') AS speaker, coalesce(printf('%.4f', confidence), '') AS confidence, '' AS flags, '' AS suspected,
+CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS text FROM att"""))
 def k06_csv(spark: SparkSession, sf: str) -> DataFrame:
     return render.table(_spoken(spark, sf))
 
@@ -93,7 +99,7 @@ dx AS (SELECT *, CASE WHEN who IS DISTINCT FROM lag(who) OVER (PARTITION BY run_
 dy AS (SELECT *, sum(b) OVER (PARTITION BY run_id ORDER BY seg_idx ROWS UNBOUNDED PRECEDING) AS k FROM dx)"""
 
 
-@query(oracle(SEGMENTS, TURNS, _ATTACHED, _TIMED, _DIALOGUE, select=f"""SELECT run_id, CAST(k AS BIGINT) AS line_no, '[' || {_clock('arg_min(s, seg_idx)')} || '] ' || min(who) || ': ' || trim(string_agg(nullif(trim(text), ''), ' ' ORDER BY seg_idx)) AS line FROM dy GROUP BY run_id, k"""))
+@query(oracle(SEGMENTS, TURNS, _ATTACHED, _NUMBERED, _DIALOGUE, select=f"""SELECT run_id, CAST(k AS BIGINT) AS line_no, CASE WHEN arg_min_null(s, seg_idx) IS NULL THEN '' ELSE '[' || {_clock('arg_min_null(s, seg_idx)')} || '] ' END || min(who) || ': ' || trim(string_agg(nullif(trim(text), ''), ' ' ORDER BY seg_idx)) AS line FROM dy GROUP BY run_id, k"""))
 def k08_dialogue(spark: SparkSession, sf: str) -> DataFrame:
     return render.dialogue(_spoken(spark, sf))
 
@@ -109,14 +115,14 @@ def k09_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_variants(spark: SparkSession, sf: str) -> DataFrame:
     """Segments with an original reading for every third one and two other readings."""
-    rows = base.segments(spark, sf).filter("s is not null and e is not null").drop("words")
+    rows = base.segments(spark, sf).drop("words")
     make = lambda said, kind, c: F.struct(said.alias("text"), F.lit("pass").alias("source"), F.lit(kind).alias("kind"), F.lit(c).cast("double").alias("confidence"))
     primary = F.when(F.col("seg_idx") % 3 == 0, F.array(make(F.lower("text"), "primary", 0.5))).otherwise(F.array().cast("array<struct<text:string,source:string,kind:string,confidence:double>>"))
     others = F.array(make(F.concat("text", F.lit("!")), "context", 0.25), make(F.concat("text", F.lit(" more")), "model", None))
     return rows.withColumn("variants", F.concat(primary, others))
 
 
-@query(oracle(SEGMENTS, select="SELECT run_id, seg_idx, CASE WHEN seg_idx % 3 = 0 AND lower(text) <> text THEN text || '   |raw| ' || lower(text) ELSE text END AS reading FROM segments WHERE s IS NOT NULL AND e IS NOT NULL"))
+@query(oracle(SEGMENTS, select="SELECT run_id, seg_idx, CASE WHEN seg_idx % 3 = 0 AND lower(text) <> text THEN text || '   |raw| ' || lower(text) ELSE text END AS reading FROM segments"))
 def k10_chosen(spark: SparkSession, sf: str) -> DataFrame:
     rows = _with_variants(spark, sf)
     return rows.select("run_id", "seg_idx", render.chosen(rows, render.Options(reading="both")).alias("reading"))
@@ -135,12 +141,6 @@ def k12_formats(spark: SparkSession, sf: str) -> DataFrame:
     return asked.select("asked", F.array_join(render.expand(F.col("asked")), ",").alias("formats"))
 
 
-@query(oracle(RUNS, select="SELECT run_id, has_speakers = 1 AS show_speakers, has_summary = 1 AND has_speakers = 1 AS show_summary FROM r"))
-def k15_render_gate(spark: SparkSession, sf: str) -> DataFrame:
-    asked = F.col("has_speakers") == 1
-    return base.runs(spark, sf).select("run_id", asked.alias("show_speakers"), ((F.col("has_summary") == 1) & asked).alias("show_summary"))
-
-
 @query(f"SELECT run_id, span_idx, {_clock('s')} AS clock, {_clock('s')} || printf('.%03d', greatest(s, 0) % 1000) AS fine, {_cue('s', ',')} AS cue FROM (SELECT run_id, span_idx, min(CAST(round(start_s * 1000) AS BIGINT)) AS s FROM spans GROUP BY ALL) WHERE s IS NOT NULL")
 def f07_f08_clock(spark: SparkSession, sf: str) -> DataFrame:
     rows = base.spans(spark, sf).filter("s is not null")
@@ -181,12 +181,6 @@ def f17_bar(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", text.bar(F.col("value"), F.lit(100.0)).alias("bar"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 64 ELSE -1 END AS tokens FROM events")
-def f20_context_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.create_map(F.lit("click"), F.lit(0), F.lit("view"), F.lit(64))
-    return table(spark, sf, "events").select("event_id", F.coalesce(names[F.col("event_type")], F.lit(-1)).alias("tokens"))
-
-
 # --- tool output -----------------------------------------------------------------------------
 
 
@@ -276,7 +270,7 @@ def t01_novel(spark: SparkSession, sf: str) -> DataFrame:
     return readings.novel(rows, rows.select("run_id", "seg_idx", F.posexplode(said).alias("n", "text")))
 
 
-@query(oracle(SEGMENTS, select="SELECT run_id, seg_idx, CASE WHEN seg_idx % 3 = 0 THEN 'primary,model' ELSE 'model' END AS kinds FROM segments WHERE s IS NOT NULL AND e IS NOT NULL"))
+@query(oracle(SEGMENTS, select="SELECT run_id, seg_idx, CASE WHEN seg_idx % 3 = 0 THEN 'primary,model' ELSE 'model' END AS kinds FROM segments"))
 def t02_still_differing(spark: SparkSession, sf: str) -> DataFrame:
     kept = readings.still_differing(F.col("variants"), F.col("text"), ("context", "model"))
     return _with_variants(spark, sf).select("run_id", "seg_idx", F.array_join(F.transform(kept, lambda v: v["kind"]), ",").alias("kinds"))
@@ -317,7 +311,7 @@ def w10_summary_windows(spark: SparkSession, sf: str) -> DataFrame:
     return readings.summary_windows(base.segments(spark, sf).filter("s is not null").select("run_id", "seg_idx", "s", "text")).select("run_id", "seg_idx", "window")
 
 
-@query(oracle(SEGMENTS, TURNS, _ATTACHED, select=f"SELECT run_id, seg_idx, '[' || {_clock('s')} || '] ' || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || text AS line FROM att WHERE s IS NOT NULL AND e IS NOT NULL AND trim(text) <> ''"))
+@query(oracle(SEGMENTS, TURNS, _ATTACHED, select=f"SELECT run_id, seg_idx, CASE WHEN s IS NULL THEN '' ELSE '[' || {_clock('s')} || '] ' END || CASE WHEN coalesce(speaker, '') <> '' THEN speaker || ': ' ELSE '' END || text AS line FROM att WHERE trim(text) <> ''"))
 def c16_lines(spark: SparkSession, sf: str) -> DataFrame:
     return _spoken(spark, sf).filter("trim(text) <> ''").select("run_id", "seg_idx", readings.spoken_line(F.col("speaker")).alias("line"))
 
@@ -348,24 +342,3 @@ def a14_merge_parts(spark: SparkSession, sf: str) -> DataFrame:
 def c17_summary_reply(spark: SparkSession, sf: str) -> DataFrame:
     reply = F.concat(F.lit('{"headline": " h ", "sections": [{"title": " ", "bullets": ["", " b "]}, {"title": ""}], "decisions": [" d ", null], "extra": '), F.col("event_id").cast("string"), F.lit("}"))
     return table(spark, sf, "events").select("event_id", F.to_json(readings.summary(reply)).alias("summary"))
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'auto' WHEN event_type = 'click' THEN 'off' ELSE event_type END AS mode FROM events")
-def c08_compare_mode(spark: SparkSession, sf: str) -> DataFrame:
-    """``off`` becomes ``auto`` where a correction pass runs and nobody chose."""
-    chosen = F.when(F.col("event_type") == "click", "off").otherwise(F.col("event_type"))
-    fix = F.col("event_id") % 2 == 0
-    return table(spark, sf, "events").select("event_id", F.when((chosen == "off") & fix, "auto").otherwise(chosen).alias("mode"))
-
-
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 1 ELSE event_id % 3 END AS decodes FROM events")
-def c09_extra_decodes(spark: SparkSession, sf: str) -> DataFrame:
-    asked, fix = F.col("event_id") % 3, F.col("event_id") % 2 == 0
-    return table(spark, sf, "events").select("event_id", F.when((asked == 0) & fix, 1).otherwise(asked).alias("decodes"))
-
-
-@query("SELECT event_type AS name, count(*) AS n, event_type NOT IN ('click', 'view') AS skipped FROM events GROUP BY event_type")
-def c12_cross_checks(spark: SparkSession, sf: str) -> DataFrame:
-    usable = spark.createDataFrame([("click",), ("view",)], "name string").withColumn("ok", F.lit(True))
-    asked = table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("n"))
-    return asked.join(F.broadcast(usable), "name", "left").select("name", "n", F.col("ok").isNull().alias("skipped"))

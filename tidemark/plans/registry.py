@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("core_problems", "speech", "terms", "archive", "output", "live")
+MODULES = ("core_problems", "speech", "terms", "archive", "output", "live", "settings")
 
 
 def _modules() -> list:

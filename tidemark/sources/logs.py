@@ -142,3 +142,41 @@ def reply_object(reply: Column, last: bool = False) -> Column:
             yield s.map(lambda t: read(t) if isinstance(t, str) else None)
 
     return run(reply)
+
+
+_SLIM = "struct<language:string,segments:array<struct<start:double,end:double,text:string,avg_logprob:double,no_speech_prob:double,compression_ratio:double,words:array<struct<start:double,end:double,word:string,probability:double>>>>>"
+
+
+def slim(raw: Column) -> Column:
+    """A decoder's raw result without what nobody reads, as token arrays; missing text is empty, missing words none.
+
+    Null where the text is no JSON object.
+    """
+    read = F.from_json(raw, _SLIM)
+    word = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.coalesce(w["word"], F.lit("")).alias("word"), w["probability"].alias("probability"))
+    kept = ("start", "end")
+    segment = lambda s: F.struct(*[s[c].alias(c) for c in kept], F.coalesce(s["text"], F.lit("")).alias("text"), *[s[c].alias(c) for c in ("avg_logprob", "no_speech_prob", "compression_ratio")], F.transform(F.coalesce(s["words"], F.array().cast("array<struct<start:double,end:double,word:string,probability:double>>")), word).alias("words"))
+    segments = F.transform(F.coalesce(read["segments"], F.expr(f"cast(array() as {_SLIM[len('struct<language:string,segments:') : -1]})")), segment)
+    return F.when(F.get_json_object(raw, "$").startswith("{"), F.struct(read["language"].alias("language"), segments.alias("segments")))
+
+
+_PROBE = "struct<format:struct<duration:string,format_name:string,size:string,tags:map<string,string>>,streams:array<struct<codec_type:string,codec_name:string,sample_rate:string,channels:int,duration:string>>>"
+
+
+def probed(raw: Column) -> Column:
+    """A media probe's JSON as duration, container, codec, sample rate, channels, video and tag; null without an audio stream.
+
+    Numbers that cannot be read are 0, as is a duration that neither the file nor the stream states.
+    """
+    read = F.from_json(raw, _PROBE)
+    audio = F.get(F.filter(read["streams"], lambda s: s["codec_type"] == "audio"), F.lit(0))
+    number = lambda c, kind: F.coalesce(c.try_cast(kind), F.lit(0).cast(kind))
+    has_video = F.exists(read["streams"], lambda s: s["codec_type"] == "video")
+    return F.when(
+        audio.isNotNull(),
+        F.struct(
+            number(F.coalesce(read["format"]["duration"], audio["duration"]), "double").alias("duration"), F.coalesce(read["format"]["format_name"], F.lit("")).alias("container"),
+            F.coalesce(audio["codec_name"], F.lit("")).alias("codec"), number(audio["sample_rate"], "int").alias("sample_rate"), F.coalesce(audio["channels"], F.lit(0)).alias("channels"),
+            F.coalesce(has_video, F.lit(False)).alias("has_video"), read["format"]["tags"]["creation_time"].alias("tag"),
+        ),
+    )
